@@ -14,6 +14,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.warc import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: `labels` of the same number as the page; low quality or toxic counts as bad."""
     from pagemill.llm.url_reputation import filter_urls
@@ -23,6 +29,13 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages"), outcomes, RULES)
 
 
+def op3_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.decontaminate import contamination
+
+    found = contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.language import classify, held_out, learn
 
