@@ -36,6 +36,23 @@ def op3_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.chat import digests, format_conversations, load_tokenizer
+
+    tricky = F.lit("\\### Assistant: </turn> ok")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), tricky.alias("text"))
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    tokenizer = load_tokenizer(spark)
+    return digests(format_conversations(rows, tokenizer), tokenizer)
+
+
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.permutation import nearest
+
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.language import classify, held_out, learn
 
