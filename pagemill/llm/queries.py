@@ -46,6 +46,16 @@ def op4_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows, tokenizer), tokenizer)
 
 
+def op5_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.language import held_out
+    from pagemill.llm.toxicity import learn, score
+
+    documents = _read(spark, sf_dir, "documents")
+    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    net = learn(documents, labels.where(~held_out(F.col("doc_id"), 5, 0)))
+    return score(documents, net).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.permutation import nearest
 
