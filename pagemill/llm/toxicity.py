@@ -29,7 +29,7 @@ WINDOW, STRIDE = 24, 16
 TOXIC_DOCS, CLEAN_DOCS, DOC_CHARS = 1000, 2500, 6000
 #: Bounds of the vocabulary, and sizes of the vectors and of the recurrent state.
 MAX_WORDS, MAX_GRAMS, DIM, HIDDEN = 30_000, 30_000, 8, 8
-EPOCHS, BATCH, RATE = 8, 128, 0.01
+EPOCHS, BATCH, RATE = 6, 128, 0.01
 #: Words whose inputs a scoring task remembers.
 CACHE = 200_000
 
@@ -62,30 +62,37 @@ class Network:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.shift = 0.0
 
-    def inputs(self, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Vectors of words, and for each the rows of its word and of each pooled component's letter group."""
-        word = np.array([self.words.get(w, 0) for w in vocabulary], np.int64)
+    def rows(self, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its row among the words, and the rows of its letter groups, the first repeated to fill."""
         lists = [[self.grams.get(g, 0) for g in grams(w)] for w in vocabulary]
-        wide = np.zeros((len(lists), max(map(len, lists), default=1)), np.int64)
+        wide = np.zeros((len(lists), max(map(len, lists), default=1)), np.int32)
         for i, x in enumerate(lists):
+            wide[i] = x[0]
             wide[i, : len(x)] = x
-            wide[i, len(x) :] = x[0]
+        return np.array([self.words.get(w, 0) for w in vocabulary], np.int64), wide
+
+    def vectors(self, word: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of words, and for each component the letter group that it was pooled from."""
         own = self.p["gram"][wide]
-        best = own.argmax(1)
-        rows = np.take_along_axis(wide, best, 1)
-        return np.concatenate([self.p["word"][word], np.take_along_axis(own, best[:, None, :], 1)[:, 0]], 1), word, rows
+        rows = np.take_along_axis(wide, own.argmax(1), 1)
+        return np.concatenate([self.p["word"][word], own.max(1)], 1), rows
+
+    def inputs(self, vocabulary: list[bytes]) -> np.ndarray:
+        return self.vectors(*self.rows(vocabulary))[0]
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """Logits from projected inputs x (2, windows, steps, 3h), where mask is 1 on words."""
-        h, (n, steps) = HIDDEN, mask.shape
+    def forward(self, projected: np.ndarray, ids: np.ndarray, keep: bool = False):
+        """Logits of windows of word numbers (0: none) into projected inputs (2, words, 3h)."""
+        h, (n, steps) = HIDDEN, ids.shape
+        mask = (ids > 0).astype(np.float32)
+        full = bool(mask.all())
         state, states, kept = np.zeros((2, n, h), np.float32), np.zeros((steps, 2, n, h), np.float32), []
         for t in range(steps):
-            m = np.stack([mask[:, t], mask[:, steps - 1 - t]])[:, :, None]
-            a = np.stack([x[0, :, t], x[1, :, steps - 1 - t]])
+            a = np.stack([projected[0].take(ids[:, t], 0), projected[1].take(ids[:, steps - 1 - t], 0)])
             u = state @ self.p["wh"]
             gates = 1 / (1 + np.exp(-(a[:, :, : 2 * h] + u[:, :, : 2 * h])))
             z, r = gates[:, :, :h], gates[:, :, h:]
             c = np.tanh(a[:, :, 2 * h :] + r * u[:, :, 2 * h :])
+            m = 1 if full else np.stack([mask[:, t], mask[:, steps - 1 - t]])[:, :, None]
             new = state + m * (1 - z) * (c - state)
             if keep:
                 kept.append((state, z, r, c, u[:, :, 2 * h :], m))
@@ -103,11 +110,11 @@ class Network:
     def project(self, vectors: np.ndarray) -> np.ndarray:
         return vectors[None] @ self.p["wx"] + self.p["b"]  # 2, words, 3h
 
-    def gradients(self, ids: np.ndarray, mask: np.ndarray, vectors: np.ndarray, label: np.ndarray):
+    def gradients(self, ids: np.ndarray, vectors: np.ndarray, label: np.ndarray):
         """Of the mean log loss, for all parameters but the word and letter vectors, and for `vectors`."""
-        p, h, (n, steps) = self.p, HIDDEN, mask.shape
+        p, h, (n, steps) = self.p, HIDDEN, ids.shape
         projected = self.project(vectors)
-        logit, (kept, both, q, w, pooled) = self.forward(projected[:, ids], mask, keep=True)
+        logit, (kept, both, q, w, pooled) = self.forward(projected, ids, keep=True)
         g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("word", "gram")}
         d = (1 / (1 + np.exp(-logit)) - label) / n
         g["out"], g["bias"] = pooled.T @ d, np.array([d.sum()])
@@ -180,7 +187,12 @@ def fit(labelled: list[tuple[str, int]], *, epochs: int = EPOCHS, seed: int = 0)
     rng = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     # Before training, a window's worst word by document counts picks it.
-    vectors, word_rows, gram_rows = net.inputs(vocabulary)
+    word, wide = net.rows(vocabulary)
+
+    def all_vectors() -> np.ndarray:
+        return np.concatenate([net.vectors(word[i : i + 8192], wide[i : i + 8192])[0] for i in range(0, len(word), 8192)])
+
+    vectors = all_vectors()
     first = np.maximum(vectors[:, 0], vectors[:, DIM])
     first[0] = -9
     worst = first[windows].max(1)
@@ -198,12 +210,12 @@ def fit(labelled: list[tuple[str, int]], *, epochs: int = EPOCHS, seed: int = 0)
         rng.shuffle(own)
         for i in range(0, len(own), BATCH):
             some = own[i : i + BATCH]
-            used, ids = np.unique(windows[some], return_inverse=True)
-            ids = ids.reshape(len(some), WINDOW)
-            vectors, word_rows, gram_rows = net.inputs([vocabulary[u] for u in used])
-            g, dv, _ = net.gradients(ids, (windows[some] > 0).astype(np.float32), vectors, label[owner[some]].astype(np.float32))
+            used, ids = np.unique(np.append(windows[some], 0), return_inverse=True)  # number 0 stays number 0
+            ids = ids[:-1].reshape(len(some), WINDOW)
+            vectors, gram_rows = net.vectors(word[used], wide[used])
+            g, dv, _ = net.gradients(ids, vectors, label[owner[some]].astype(np.float32))
             g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-            np.add.at(g["word"], word_rows, dv[:, :DIM])
+            np.add.at(g["word"], word[used], dv[:, :DIM])
             np.add.at(g["gram"], (gram_rows, np.arange(DIM)[None, :]), dv[:, DIM:])
             g["word"][0] = 0
             step += 1
@@ -213,9 +225,8 @@ def fit(labelled: list[tuple[str, int]], *, epochs: int = EPOCHS, seed: int = 0)
                 a[at] = 0.9 * a[at] + 0.1 * x[at]
                 b[at] = 0.999 * b[at] + 0.001 * x[at] ** 2
                 net.p[k][at] -= RATE * (a[at] / (1 - 0.9**step)) / (np.sqrt(b[at] / (1 - 0.999**step)) + 1e-6)
-        vectors, _, _ = net.inputs(vocabulary)
-        projected = net.project(vectors)
-        worst = np.concatenate([net.forward(projected[:, windows[i : i + 4096]], (windows[i : i + 4096] > 0).astype(np.float32)) for i in range(0, len(windows), 4096)])
+        projected = net.project(all_vectors())
+        worst = np.concatenate([net.forward(projected, windows[i : i + 1024]) for i in range(0, len(windows), 1024)])
     # The cut between the classes that errs least on whole texts, each class weighing the same, in the middle of its gap.
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, worst)
@@ -247,9 +258,8 @@ class Scorer:
         self.forget()
 
     def forget(self) -> None:
-        vectors, _, _ = self.net.inputs([b""])
         self.number: dict[bytes, int] = {}
-        self.known = self.net.project(vectors)
+        self.known = self.net.project(self.net.inputs([b""]))
         self.used = 1
 
     def of(self, texts: list[list[bytes]]) -> np.ndarray:
@@ -265,7 +275,7 @@ class Scorer:
                 own[i] = k
             ids.append(own)
         for i in range(0, len(new), 4096):
-            some = self.net.project(self.net.inputs(new[i : i + 4096])[0])
+            some = self.net.project(self.net.inputs(new[i : i + 4096]))
             if self.used + some.shape[1] > self.known.shape[1]:
                 grown = np.zeros((2, 2 * (self.used + some.shape[1]), some.shape[2]), np.float32)
                 grown[:, : self.used] = self.known[:, : self.used]
@@ -281,9 +291,9 @@ class Scorer:
             flat[b : b + len(own)] = own
         at = np.concatenate([s + b for s, b in zip(starts, base, strict=False)]).astype(np.int64) if texts else np.empty(0, np.int64)
         best = np.full(len(texts), -np.inf)
-        for i in range(0, len(at), 2048):
-            own = flat[at[i : i + 2048, None] + np.arange(WINDOW)]
-            np.maximum.at(best, owner[i : i + 2048], self.net.forward(self.known[:, own], (own > 0).astype(np.float32)))
+        for i in range(0, len(at), 1024):
+            own = flat[at[i : i + 1024, None] + np.arange(WINDOW)]
+            np.maximum.at(best, owner[i : i + 1024], self.net.forward(self.known, own))
         if self.used > CACHE:
             self.forget()
         with np.errstate(over="ignore"):
