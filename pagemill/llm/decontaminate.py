@@ -246,3 +246,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = W
         out = rows.join(out, rows["doc_id"].eqNullSafe(out["_d"]) & (rows["th"] == out["_t"]), "left").select("doc_id", "th", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("spans"))
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     return out.select("doc_id", "th", "n_words", hits.alias("n_hit"), "items", "spans")
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
+    """The rows of documents that hold no phrase of the test set, as they are."""
+    hit = contamination(documents, benchmark, window=window).where("n_hit > 0").select(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("d"), F.col("th").alias("t")).alias("_hit"))
+    hit = stored(hit, "hits")  # a stored list has a known size, by which Spark chooses how to join it
+    keyed = documents.withColumn("_key", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")))
+    return keyed.join(hit, keyed["_key"] == hit["_hit"], "left_anti").drop("_key")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stored
+from pagemill.llm.common import stored, uniform
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a bucket, on average: enough that the words of the others settle a
@@ -58,11 +58,6 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), mo
     return each.select("source", "source_size", "n", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def _uniform(*what: Column) -> Column:
-    """In [0, 1), from the hash of the columns."""
-    return F.pmod(F.xxhash64(*what), F.lit(1 << 53)) / float(1 << 53)
-
-
 def _fold(items: Column, seed: int, level: int) -> Column:
     """Pair the items (doc_id, size, frac) of a bucket one after another, the longest first.
 
@@ -81,7 +76,7 @@ def _fold(items: Column, seed: int, level: int) -> Column:
         room_c, held_c = (1 - c["frac"]) * c["size"], c["frac"] * c["size"]
         room_e, held_e = (1 - e["frac"]) * e["size"], e["frac"] * e["size"]
         up, down = F.least(room_c, held_e), F.least(held_c, room_e)
-        goes_up = _uniform(F.lit(seed), F.lit(level), c["doc_id"], e["doc_id"]) * (up + down) < down
+        goes_up = uniform(F.lit(seed), F.lit(level), c["doc_id"], e["doc_id"]) * (up + down) < down
         # Whoever reaches its end gets exactly 0 or 1; the other takes what moved.
         c_frac = F.when(goes_up, F.when(room_c <= held_e, 1.0).otherwise(c["frac"] + held_e / c["size"])).otherwise(F.when(held_c <= room_e, 0.0).otherwise(c["frac"] - room_e / c["size"]))
         e_frac = F.when(goes_up, F.when(held_e <= room_c, 0.0).otherwise(e["frac"] - room_c / e["size"])).otherwise(F.when(room_e <= held_c, 1.0).otherwise(e["frac"] + held_c / e["size"]))
@@ -137,10 +132,30 @@ def mix(documents: DataFrame, *, text: str = "text", seed: int = 7, weights: tup
         parts.append(folded.select("*", F.explode("fold.out").alias("x")).select("x.doc_id", "source", "x.size", "source_size", "target", "base", (F.col("x.frac") > 0.5).cast("int").alias("extra")))
         left = folded.where(F.col("fold.carry").isNotNull()).select("fold.carry.doc_id", "source", "fold.carry.size", "source_size", "target", "base", "n", "fold.carry.frac")
         if not widest:  # one bucket a source: its last document is rounded by itself
-            parts.append(left.select(*cols, (_uniform(F.lit(seed), F.lit(-1), F.col("doc_id")) < F.col("frac")).cast("int").alias("extra")))
+            parts.append(left.select(*cols, (uniform(F.lit(seed), F.lit(-1), F.col("doc_id")) < F.col("frac")).cast("int").alias("extra")))
         items, buckets, level = left, F.ceil(buckets / BUCKET), level + 1
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     copies = F.col("base") + F.col("extra")
     return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def take(documents: DataFrame, **settings) -> DataFrame:
+    """The rows of documents that the mix takes, with copies and taken.
+
+    Rows that agree in doc_id, source and size are told apart by number; any of them
+    may stand for the other.
+    """
+    count = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    sized = documents.withColumn("_size", count)
+    picks = stored(mix(documents, **settings).where("copies > 0").select("doc_id", "source", "size", "copies", "taken"), "picks")
+    key, n = ["doc_id", "source", "size"], F.lit(1)
+    if not picks.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        n = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies")))
+        sized = sized.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("_size")))
+    else:
+        sized = sized.withColumn("_n", F.lit(1))
+    picks = picks.select(*(F.col(k).alias(f"_{k}_") for k in key), n.alias("_n_"), "copies", "taken")
+    same = sized["doc_id"].eqNullSafe(picks["_doc_id_"]) & sized["source"].eqNullSafe(picks["_source_"]) & (sized["_size"] == picks["_size_"]) & (sized["_n"] == picks["_n_"])
+    return sized.join(picks, same).select(*documents.columns, "copies", "taken")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stored
+from pagemill.llm.common import hash_sample, stored
 
 #: Pivots, how many of them represent a vector, and the sample they are drawn from.
 PIVOTS, PREFIX, SAMPLE = 256, 64, 8192
@@ -70,7 +70,7 @@ def build_index(vectors: DataFrame, *, vec: str = "embedding") -> tuple[DataFram
     Vectors of another length than most of the sample's take no part.
     """
     rows = usable(vectors, vec)
-    sample = [r["vec"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
+    sample = [r["vec"] for r in hash_sample(rows, "vec_id", rows.count(), SAMPLE).collect()]
     if not sample:
         return rows.withColumn("pivots", F.array().cast("array<smallint>")).where("false"), None, 0
     sizes = [len(x) for x in sample]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import SEED, checkpointed, stored
+from pagemill.llm.common import SEED, checkpointed, hash_sample, stored
 from pagemill.llm.graph import components
 
 #: Distinct fingerprints under one partition value that are still paired there.
@@ -150,7 +150,7 @@ def links(fps: DataFrame, t: int = 2) -> DataFrame:
     t = 2, a star for each exact neighbourhood. Other t pair up all candidates.
     """
     n = fps.count()
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in hash_sample(fps, "fp", n, SAMPLE).collect()], np.int64).view(np.uint64)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= t
     parts, crowds = [], []
     for mask, own in plan(sample, n, t):
@@ -192,13 +192,46 @@ def near_duplicates(documents: DataFrame, *, width: int = 3, t: int = 2) -> Data
     is paired. An empty table gives an empty result.
     """
     rows = stored(fingerprints(documents, width), "fingerprints")
-    own = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    fps = checkpointed(own)
+    by_fp = classes(rows.select("fp", "doc_id"), t).withColumnRenamed("fp", "_fp")
+    return rows.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def classes(rows: DataFrame, t: int) -> DataFrame:
+    """fp, least: for each fingerprint of rows(fp, x) the least x of all that are reachable from it over links."""
+    x = next(c for c in rows.columns if c != "fp")
+    fps = checkpointed(rows.groupBy("fp").agg(F.min(x).alias("least")))
     found = components(links(fps.select("fp"), t))
     roots = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = roots.where("root is not null").join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return rows.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    least = roots.groupBy("root").agg(F.min("least").alias("least"))
+    return roots.select("fp", "root").join(least, "root").select("fp", "least")
+
+
+def keep_one(documents: DataFrame, *, width: int = 3, t: int = 2) -> DataFrame:
+    """Of each group of near-duplicates the row with the smallest doc_id, as it is.
+
+    Rows with equal doc_id go by their text's hash; of equal rows one stays. Null ids
+    come first.
+    """
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(x.as_py(), width) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["d", "t", "fp"])
+
+    rows = stored(documents.select(key.alias("key"), "text").select("key.*", "text").mapInArrow(run, "d long, t long, fp long"), "fingerprints")
+    by_fp = classes(rows.select("fp", F.struct("d", "t").alias("key")), t).withColumnRenamed("fp", "_fp")
+    judged = rows.join(by_fp, F.col("fp") == F.col("_fp")).groupBy("d", "t").agg(F.max((F.struct("d", "t") == F.col("least")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    judged = stored(judged.where("stays = 0 or n > 1"), "judged")
+    keyed = documents.withColumn("_key", key)
+    # A stored list has a known size, by which Spark chooses how to join it.
+    gone = judged.select(F.struct("d", "t").alias("_gone"))
+    out = keyed.join(gone, keyed["_key"] == gone["_gone"], "left_anti").drop("_key")
+    again = judged.where("stays = 1")
+    if again.isEmpty():
+        return out
+    again = again.select(F.struct("d", "t").alias("_again"))
+    return out.unionByName(keyed.join(again, keyed["_key"] == again["_again"], "left_semi").dropDuplicates(["_key"]).drop("_key"))
 
 
 def fingerprint_hex(fp: Column) -> Column:

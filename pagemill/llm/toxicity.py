@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import hash_sample
 from pagemill.llm.decontaminate import words
 
 WINDOW, STRIDE = 24, 16
@@ -227,12 +228,12 @@ def fit(labelled: list[tuple[str, int]], *, epochs: int = EPOCHS, seed: int = 0)
                 net.p[k][at] -= RATE * (a[at] / (1 - 0.9**step)) / (np.sqrt(b[at] / (1 - 0.999**step)) + 1e-6)
         projected = net.project(all_vectors())
         worst = np.concatenate([net.forward(projected, windows[i : i + 1024]) for i in range(0, len(windows), 1024)])
-    # The cut between the classes that errs least on whole texts, each class weighing the same, in the middle of its gap.
+    # The cut between the classes that errs on the fewest whole texts, in the middle of its gap.
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, worst)
     order = np.argsort(best)
     ranked, y = best[order], label[order]
-    errors = np.concatenate([[0], np.cumsum(y == 1) / n[1]]) + np.concatenate([np.cumsum((y == 0)[::-1])[::-1] / n[0], [0]])
+    errors = np.concatenate([[0], np.cumsum(y == 1)]) + np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
     edges = np.concatenate([[ranked[0] - 1], (ranked[1:] + ranked[:-1]) / 2, [ranked[-1] + 1]])
     net.shift = float(np.median(edges[errors <= errors.min() + 1e-9]))
     return net
@@ -243,10 +244,11 @@ def sample(labelled: DataFrame, *, toxic: int = TOXIC_DOCS, clean: int = CLEAN_D
 
     labelled(doc_id, text, label); null texts and labels teach nothing.
     """
-    rows = labelled.where((F.length("text") <= DOC_CHARS) & F.col("label").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "text", F.col("label").cast("int").alias("label"))
+    rows = labelled.where((F.length("text") <= DOC_CHARS) & F.col("label").isNotNull()).select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = []
     for label, n in ((1, toxic), (0, clean)):
-        found += [(r["text"], label) for r in rows.where(F.col("label") == label).orderBy("h", "text").limit(n).collect()]
+        found += [(r["text"], label) for r in hash_sample(rows.where(F.col("label") == label), "doc_id", counts.get(label, 0), n).collect()]
     return found
 
 
@@ -300,6 +302,18 @@ class Scorer:
             return np.where(np.isneginf(best), 0.0, 1 / (1 + np.exp(np.minimum(700, self.net.shift - best))))
 
 
+def _scores(scorer: Scorer | None, column: pa.Array) -> np.ndarray:
+    done, held, size = [np.empty(0)], [], 0
+    for text in [*column, None]:
+        if text is not None:
+            held.append(words(text.as_py()))
+            size += len(held[-1])
+        if held and (text is None or size > 1 << 16):
+            done.append(scorer.of(held) if scorer else np.zeros(len(held)))
+            held, size = [], 0
+    return np.concatenate(done)
+
+
 def score(documents: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, score, predicted; one row for each row of documents(doc_id, text).
 
@@ -311,23 +325,25 @@ def score(documents: DataFrame, net: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
-            done, held, size = [], [], 0
-            for text in batch.column(1):
-                held.append(words(text.as_py()))
-                size += len(held[-1])
-                if size > 1 << 16:
-                    done.append(scorer.of(held) if scorer else np.zeros(len(held)))
-                    held, size = [], 0
-            if held:
-                done.append(scorer.of(held) if scorer else np.zeros(len(held)))
-            s = np.concatenate(done) if done else np.empty(0)
+            s = _scores(scorer, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_clean(documents: DataFrame, net: Network | None) -> DataFrame:
+    """The rows of documents that score under 0.5, as they are."""
+    shared = documents.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value) if shared.value else None
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(scorer, batch.column("text")) < 0.5))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def learn(documents: DataFrame, labels: DataFrame) -> Network | None:
     """Train on documents(doc_id, text) joined with labels(doc_id, label) by their ids."""
-    # Ids and labels alone choose the sample's candidates before any text is joined.
     one = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    return (lambda rows: fit(rows) if rows else None)(sample(documents.select("doc_id", "text").join(one, "doc_id")))
+    return fit(sample(documents.select("doc_id", "text").join(one, "doc_id")))
