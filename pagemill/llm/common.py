@@ -64,6 +64,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def uniform(*columns: Column) -> Column:
     """In [0, 1), from the hash of the columns."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 53)) / float(1 << 53)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stored
+from pagemill.llm.common import fresh, stored
 
 #: Words of a test phrase; an item with fewer is one phrase.
 WINDOW = 10
@@ -252,5 +252,6 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, *, window: int = WIND
     """The rows of documents that hold no phrase of the test set, as they are."""
     hit = contamination(documents, benchmark, window=window).where("n_hit > 0").select(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("d"), F.col("th").alias("t")).alias("_hit"))
     hit = stored(hit, "hits")  # a stored list has a known size, by which Spark chooses how to join it
-    keyed = documents.withColumn("_key", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")))
-    return keyed.join(hit, keyed["_key"] == hit["_hit"], "left_anti").drop("_key")
+    own = fresh(documents, "_key")
+    keyed = documents.withColumn(own, F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")))
+    return keyed.join(hit, keyed[own] == hit["_hit"], "left_anti").drop(own)

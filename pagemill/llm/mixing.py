@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stored, uniform
+from pagemill.llm.common import fresh, stored, uniform
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a bucket, on average: enough that the words of the others settle a
@@ -145,17 +145,19 @@ def take(documents: DataFrame, **settings) -> DataFrame:
     """The rows of documents that the mix takes, with copies and taken.
 
     Rows that agree in doc_id, source and size are told apart by number; any of them
-    may stand for the other.
+    may stand for the other. Columns of documents with these two names give way.
     """
     count = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = documents.withColumn("_size", count)
+    own, nth = fresh(documents, "_size"), fresh(documents, "_nth")
+    sized = documents.withColumn(own, count)
     picks = stored(mix(documents, **settings).where("copies > 0").select("doc_id", "source", "size", "copies", "taken"), "picks")
     key, n = ["doc_id", "source", "size"], F.lit(1)
-    if not picks.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        n = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies")))
-        sized = sized.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("_size")))
+    if picks.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        sized = sized.withColumn(nth, F.lit(1))
     else:
-        sized = sized.withColumn("_n", F.lit(1))
-    picks = picks.select(*(F.col(k).alias(f"_{k}_") for k in key), n.alias("_n_"), "copies", "taken")
-    same = sized["doc_id"].eqNullSafe(picks["_doc_id_"]) & sized["source"].eqNullSafe(picks["_source_"]) & (sized["_size"] == picks["_size_"]) & (sized["_n"] == picks["_n_"])
-    return sized.join(picks, same).select(*documents.columns, "copies", "taken")
+        n = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies")))
+        sized = sized.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", "source", own).orderBy(own)))
+    picks = picks.select(*(F.col(k).alias(f"_{k}_") for k in key), n.alias("_n_"), F.col("copies").alias("_copies_"), F.col("taken").alias("_taken_"))
+    same = sized["doc_id"].eqNullSafe(picks["_doc_id_"]) & sized["source"].eqNullSafe(picks["_source_"]) & (sized[own] == picks["_size_"]) & (sized[nth] == picks["_n_"])
+    kept = [sized[c] for c in documents.columns if c not in ("copies", "taken")]
+    return sized.join(picks, same).select(*kept, picks["_copies_"].alias("copies"), picks["_taken_"].alias("taken"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import SEED, checkpointed, hash_sample, stored
+from pagemill.llm.common import SEED, checkpointed, fresh, hash_sample, stored
 from pagemill.llm.graph import components
 
 #: Distinct fingerprints under one partition value that are still paired there.
@@ -223,15 +223,16 @@ def keep_one(documents: DataFrame, *, width: int = 3, t: int = 2) -> DataFrame:
     by_fp = classes(rows.select("fp", F.struct("d", "t").alias("key")), t).withColumnRenamed("fp", "_fp")
     judged = rows.join(by_fp, F.col("fp") == F.col("_fp")).groupBy("d", "t").agg(F.max((F.struct("d", "t") == F.col("least")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("n"))
     judged = stored(judged.where("stays = 0 or n > 1"), "judged")
-    keyed = documents.withColumn("_key", key)
+    own = fresh(documents, "_key")
+    keyed = documents.withColumn(own, key)
     # A stored list has a known size, by which Spark chooses how to join it.
     gone = judged.select(F.struct("d", "t").alias("_gone"))
-    out = keyed.join(gone, keyed["_key"] == gone["_gone"], "left_anti").drop("_key")
+    out = keyed.join(gone, keyed[own] == gone["_gone"], "left_anti").drop(own)
     again = judged.where("stays = 1")
     if again.isEmpty():
         return out
     again = again.select(F.struct("d", "t").alias("_again"))
-    return out.unionByName(keyed.join(again, keyed["_key"] == again["_again"], "left_semi").dropDuplicates(["_key"]).drop("_key"))
+    return out.unionByName(keyed.join(again, keyed[own] == again["_again"], "left_semi").dropDuplicates([own]).drop(own))
 
 
 def fingerprint_hex(fp: Column) -> Column:
