@@ -44,18 +44,15 @@ WITH u AS (
 ), t AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM x
 ), x1 AS (SELECT x.*, m FROM x, t
 ), xs AS (SELECT sum((bad - n * m) * (bad - n * m)) AS q, sum(n * m * (1 - m)) AS v, sum(n * m * (1 - m) * (n - 1)) AS w FROM x1
-), xr AS (SELECT CASE WHEN w > 0 THEN greatest(0, (q - v) / w) ELSE 0 END AS r FROM xs
-), xk AS (SELECT CASE WHEN r > 0 THEN least(1000, greatest(2, 1 / r - 1)) ELSE 1000 END AS s FROM xr
+), xk AS (SELECT CASE WHEN w > 0 THEN CASE WHEN q > v THEN least(1000, greatest(2, 1 / ((q - v) / w) - 1)) ELSE 1000 END ELSE 2 END AS s FROM xs
 ), x2 AS (SELECT suffix, (m * s + bad) / (s + n) AS mean FROM x1, xk
 ), d1 AS (SELECT d.*, mean AS m FROM d JOIN x2 USING (suffix)
 ), ds AS (SELECT sum((bad - n * m) * (bad - n * m)) AS q, sum(n * m * (1 - m)) AS v, sum(n * m * (1 - m) * (n - 1)) AS w FROM d1
-), dr AS (SELECT CASE WHEN w > 0 THEN greatest(0, (q - v) / w) ELSE 0 END AS r FROM ds
-), dk AS (SELECT CASE WHEN r > 0 THEN least(1000, greatest(2, 1 / r - 1)) ELSE 1000 END AS s FROM dr
+), dk AS (SELECT CASE WHEN w > 0 THEN CASE WHEN q > v THEN least(1000, greatest(2, 1 / ((q - v) / w) - 1)) ELSE 1000 END ELSE 2 END AS s FROM ds
 ), d2 AS (SELECT suffix, domain, (m * s + bad) / (s + n) AS mean FROM d1, dk
 ), h1 AS (SELECT h.*, mean AS m FROM h JOIN d2 USING (suffix, domain)
 ), hs AS (SELECT sum((bad - n * m) * (bad - n * m)) AS q, sum(n * m * (1 - m)) AS v, sum(n * m * (1 - m) * (n - 1)) AS w FROM h1
-), hr AS (SELECT CASE WHEN w > 0 THEN greatest(0, (q - v) / w) ELSE 0 END AS r FROM hs
-), hk AS (SELECT CASE WHEN r > 0 THEN least(1000, greatest(2, 1 / r - 1)) ELSE 1000 END AS s FROM hr
+), hk AS (SELECT CASE WHEN w > 0 THEN CASE WHEN q > v THEN least(1000, greatest(2, 1 / ((q - v) / w) - 1)) ELSE 1000 END ELSE 2 END AS s FROM hs
 ), h2 AS (SELECT host, m * s + bad AS a, (1 - m) * s + n - bad AS b FROM h1, hk
 ), h3 AS (SELECT host, greatest(0, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS low FROM h2
 ), judged AS (

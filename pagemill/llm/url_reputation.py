@@ -70,14 +70,15 @@ def _strength(groups: DataFrame, least: float, most: float) -> DataFrame:
     """One row: the prior's strength by moments over groups (n, bad, prior mean).
 
     For a beta-binomial, E[(bad - n m)^2] = n m (1 - m) (1 + (n - 1) r) with
-    r = 1 / (strength + 1); summed over groups this is solved for r.
+    r = 1 / (strength + 1); summed over groups this is solved for r. Groups that vary
+    no more than chance give the greatest strength; no group with two outcomes, the least.
     """
     m, n = F.col("prior"), F.col("n")
     v = n * m * (1 - m)
     sums = groups.agg(F.sum((F.col("bad") - n * m) ** 2).alias("q"), F.sum(v).alias("v"), F.sum(v * (n - 1)).alias("w"))
-    r = F.greatest(F.lit(0.0), (F.col("q") - F.col("v")) / F.col("w"))
-    r = F.when(F.col("w") > 0, r).otherwise(F.lit(0.0))
-    return sums.select(F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), F.when(r > 0, 1 / r - 1).otherwise(F.lit(float(most))))).alias("strength"))
+    r = (F.col("q") - F.col("v")) / F.col("w")
+    found = F.when(r > 0, F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), 1 / r - 1))).otherwise(F.lit(float(most)))
+    return sums.select(F.when(F.col("w") > 0, found).otherwise(F.lit(float(least))).alias("strength"))
 
 
 def host_reputation(outcomes: DataFrame, *, least: float = 2.0, most: float = 1000.0, z: float = 1.645) -> DataFrame:
