@@ -167,7 +167,7 @@ def search(index: DataFrame, block, *, slop: int = 0) -> DataFrame:
     (first, past the last) that matches cover, merged. slop 0 matches exact
     phrases; a larger one also phrases whose words lie up to slop places from where
     the phrase has them, counted from its rarest word (then a span is where the
-    phrase would lie). block: a broadcast Block.
+    phrase would lie, cut to the text). block: a broadcast Block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,15 +184,18 @@ def search(index: DataFrame, block, *, slop: int = 0) -> DataFrame:
         n_words = rows.column("n_words").to_numpy()
         terms, counts, positions = (rows.column(c) for c in ("terms", "counts", "positions"))
         # Places are numbered through the shard, with room between documents.
-        base = np.cumsum(n_words + slop) - (n_words + slop)
-        size = int((n_words + slop).sum()) + 1
+        room = own.terms.shape[1] + slop if slop else 0
+        base = np.cumsum(n_words + room) - (n_words + room)
+        size = int((n_words + room).sum()) + 1
         place = positions.flatten().to_numpy() + np.repeat(base, np.diff(positions.offsets.to_numpy()))
         keys = np.sort(np.repeat(terms.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy()) * size + place)
         cover = np.zeros(size + 1, np.int32)
         items: list[set[int]] = [set() for _ in range(rows.num_rows)]
         for phrase, start in _matches(own, keys, size, slop) if len(keys) else ():
             end = start + own.length[phrase]
-            doc = np.searchsorted(base, np.maximum(start, 0), "right") - 1
+            doc = np.searchsorted(base, start + own.offsets[phrase, 0], "right") - 1
+            if slop:
+                start, end = np.maximum(start, base[doc]), np.minimum(end, base[doc] + n_words[doc])
             inside = (start >= base[doc]) & (end <= base[doc] + n_words[doc])
             phrase, start, end, doc = phrase[inside], start[inside], end[inside], doc[inside]
             np.add.at(cover, start, 1)
@@ -239,7 +242,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = W
         for f in found:
             out = out.unionByName(f.where("size(items) > 0"))
         # A document's hits in all blocks are as long as the document at most.
-        out = out.dropDuplicates(["doc_id", "th", "items"]).groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        out = out.dropDuplicates(["doc_id", "th", "items", "spans"]).groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
         merged = F.aggregate("spans", F.array().cast("array<struct<s:bigint,e:bigint>>"), lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)["e"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))))
         out = out.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "items", merged.alias("spans"))
         rows = base.select("doc_id", "th", "n_words")
