@@ -92,7 +92,7 @@ def batch_profiles(pages: DataFrame) -> DataFrame:
     def chapter(line: Column) -> Column:
         title = X.strip(F.regexp_extract(line, r"(?U)^#{1,2}\s+(.+)$", 1))
         letters = F.regexp_count(title, F.lit(r"\p{L}")) >= 3
-        running = F.startswith(title, F.concat(page, F.lit(" "))) | title.rlike(F.concat(F.lit(r"\b"), page, F.lit("$")))
+        running = F.startswith(title, F.concat(page, F.lit(" "))) | F.regexp_like(title, F.concat(F.lit(r"\b"), page, F.lit("$")))
         return line.rlike(r"(?U)^#{1,2}\s+.+$") & letters & ~F.contains(title, F.lit("(cid:")) & ~F.contains(title, F.lit(". . .")) & ~running
 
     text = F.col("content")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill import constants as C
 
@@ -31,7 +32,7 @@ def figure_id(page: Column, number: Column) -> Column:
     return F.format_string("page-%03d-figure-%02d", page, number)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def png(width: pd.Series, height: pd.Series, channels: pd.Series, pixels: pd.Series) -> pd.Series:
     """8-bit grey or RGB pixels as a PNG file."""
 

@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill import constants as C
 from pagemill.functions import text as X
@@ -18,7 +19,7 @@ def is_link(subtype: Column, uri: Column) -> Column:
     return uri.isNotNull() | F.lower(subtype).rlike("link'*$")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _special(host: pd.Series) -> pd.Series:
     def one(x: str) -> bool:
         try:
