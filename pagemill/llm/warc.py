@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import scratch_path
+from pagemill.llm.common import scratch_path, stored
 
 #: Shorter payloads are never revisits.
 LEAST_PAYLOAD = 100
@@ -42,14 +42,15 @@ def with_revisits(pages: DataFrame, *, least: int = LEAST_PAYLOAD) -> DataFrame:
     """page_id, url, body, payload_bytes, payload_digest, refers_to.
 
     Of payloads with equal digests and at least `least` bytes, the smallest page_id
-    keeps its payload; the others refer to it. A null html is an empty payload.
-    Digests that occur once are dropped before the join.
+    keeps its payload; the others refer to it. A null html is an empty payload. The
+    digests that occur more than once are stored first: Spark then knows the size of
+    that list, and pages are only dealt out again where it is too long to be sent.
     """
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumn("payload_bytes", F.octet_length("body").cast("long")).withColumn("payload_digest", F.sha2("body", 256))
     first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "first")
-    joined = rows.join(first, "payload_digest", "left")
+    joined = rows.join(stored(first, "digests"), "payload_digest", "left")
     return joined.select("page_id", "url", "body", "payload_bytes", "payload_digest", F.when(F.col("page_id") == F.col("first"), None).otherwise(F.col("first")).alias("refers_to"))
 
 
@@ -158,75 +159,88 @@ def _fields(record: bytes) -> tuple[dict[str, str], memoryview]:
     return {k.lower(): v for k, v in (x.split(": ", 1) for x in lines)}, memoryview(record)[cut + len(END) : len(record) - len(END)]
 
 
-def write_index(spark: SparkSession, archives: str, path: str) -> None:
-    """Write the sidecar index of normalised archives: file, seq, offset, length, record_id, record_type."""
+def members_of(raw: memoryview) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and record of each member, empty members left out."""
+    at = 0
+    while at < len(raw):
+        stream, end, out = zlib.decompressobj(31), at, []
+        while not stream.eof:
+            if end >= len(raw):
+                raise ValueError("the archive ends within a member")
+            out.append(stream.decompress(raw[end : end + (1 << 16)]))
+            end += 1 << 16
+        end = min(end, len(raw)) - len(stream.unused_data)
+        if record := b"".join(out):
+            yield at, end - at, record
+        at = end
+
+
+def _number(urn: str | None) -> int | None:
+    digits = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(digits) if digits else None
+
+
+FIELDS = "file string, seq long, offset long, length long, record_type string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, refers_to long"
+
+
+def _batches(records: Iterator[tuple[str, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Records (file, seq, offset, length, bytes) as rows of FIELDS; a payload that hasn't its stated digest is an error."""
+    names = [x.split()[0] for x in FIELDS.split(", ")]
+    types = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in FIELDS.split(", ")]
+    rows, size = [], 0
+    for file, seq, offset, length, record in records:
+        kinds, payload = _fields(record)
+        kind, stated = kinds["warc-type"], kinds["warc-payload-digest"].removeprefix("sha256:")
+        response = kind == "response"
+        if response and hashlib.sha256(payload).hexdigest() != stated:
+            raise ValueError(f"{kinds['warc-record-id']}: the payload has another digest")
+        rows.append((file, seq, offset, length, kind, _number(kinds["warc-record-id"]), kinds.get("warc-target-uri"), bytes(payload) if response else None, len(payload) if response else int(kinds["x-payload-length"]), stated, _number(kinds.get("warc-refers-to"))))
+        size += len(record)
+        if size > 1 << 22:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _archives(spark: SparkSession, archives: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(archives).select("path", "content")
+
+
+def read_archives(spark: SparkSession, archives: str) -> DataFrame:
+    """All records of normalised archives, read one member after another: FIELDS.
+
+    payload is null for a revisit; payload_bytes and payload_digest are those of the
+    full payload.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch.column(0), batch.column(1), strict=True):
-                raw, rows, at = memoryview(raw.as_buffer()), [], 0
-                while at < len(raw):
-                    stream = zlib.decompressobj(31)
-                    head = stream.decompress(raw[at : at + (1 << 16)])
-                    end = at + (1 << 16)
-                    while not stream.eof:
-                        if end >= len(raw):
-                            raise ValueError("the archive ends within a member")
-                        more = stream.decompress(raw[end : end + (1 << 16)])
-                        head = head if END in head else head + more
-                        end += 1 << 16
-                    end = min(end, len(raw)) - len(stream.unused_data)
-                    if head:
-                        lines = head[: head.index(END)].decode().split("\r\n")[1:]
-                        kinds = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines)}
-                        rows.append((name.as_py(), len(rows), at, end - at, kinds["warc-record-id"], kinds["warc-type"]))
-                    at = end
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["file", "seq", "offset", "length", "record_id", "record_type"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(archives)
-    files.select("path", "content").mapInArrow(run, "file string, seq long, offset long, length long, record_id string, record_type string").write.parquet(path)
+                file = name.as_py()
+                yield from _batches((file, i, *x) for i, x in enumerate(members_of(memoryview(raw.as_buffer()))))
 
+    return _archives(spark, archives).mapInArrow(run, FIELDS)
 
-def read_records(spark: SparkSession, archives: str, index: DataFrame) -> DataFrame:
-    """The records that rows of a sidecar index name, each inflated by itself.
 
-    file, seq, record_type, page_id, url, payload (null for a revisit), payload_bytes,
-    payload_digest, refers_to. A payload that doesn't have the digest that its head
-    states is an error.
-    """
+def write_index(spark: SparkSession, archives: str, path: str) -> None:
+    """Write the sidecar index of normalised archives: file, seq, offset, length, record_type, page_id, url."""
+    read_archives(spark, archives).select("file", "seq", "offset", "length", "record_type", "page_id", "url").write.parquet(path)
 
-    def number(x: str | None) -> int | None:
-        digits = (x or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(digits) if digits else None
+
+def read_records(spark: SparkSession, archives: str, index: DataFrame) -> DataFrame:
+    """Only the records that rows of a sidecar index name, each inflated by itself: FIELDS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw, places in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                raw, rows = memoryview(raw.as_buffer()), []
-                for place in places.as_py():
-                    kinds, payload = _fields(zlib.decompress(raw[place["offset"] : place["offset"] + place["length"]], 31))
-                    kind, stated = kinds["warc-type"], kinds["warc-payload-digest"].removeprefix("sha256:")
-                    if kind == "response" and hashlib.sha256(payload).hexdigest() != stated:
-                        raise ValueError(f"{kinds['warc-record-id']}: the payload has another digest")
-                    size = len(payload) if kind == "response" else int(kinds["x-payload-length"])
-                    rows.append((name.as_py(), place["seq"], kind, number(kinds["warc-record-id"]), kinds.get("warc-target-uri"), bytes(payload) if kind == "response" else None, size, stated, number(kinds.get("warc-refers-to"))))
-                    if len(rows) == 256:
-                        yield out(rows)
-                        rows = []
-                if rows:
-                    yield out(rows)
-
-    types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64())
-    names = ["file", "seq", "record_type", "page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to"]
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                file, view = name.as_py(), memoryview(raw.as_buffer())
+                yield from _batches((file, p["seq"], p["offset"], p["length"], zlib.decompress(view[p["offset"] : p["offset"] + p["length"]], 31)) for p in places.as_py())
 
     places = index.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "seq"))).alias("places"))  # an archive's records are bounded
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(archives).select("path", "content")
+    files = _archives(spark, archives)
     joined = files.join(places, files["path"] == places["file"]).select("file", "content", "places")
-    return joined.mapInArrow(run, "file string, seq long, record_type string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, refers_to long")
+    return joined.mapInArrow(run, FIELDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -240,4 +254,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     write_monolithic(with_revisits(pages), f"{path}/monolithic")
     normalise(spark, f"{path}/monolithic", f"{path}/members")
     write_index(spark, f"{path}/members", f"{path}/index")
-    return read_records(spark, f"{path}/members", spark.read.parquet(f"{path}/index"))
+    return read_archives(spark, f"{path}/members")
