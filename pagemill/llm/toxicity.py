@@ -239,17 +239,25 @@ def fit(labelled: list[tuple[str, int]], *, epochs: int = EPOCHS, seed: int = 0)
     return net
 
 
-def sample(labelled: DataFrame, *, toxic: int = TOXIC_DOCS, clean: int = CLEAN_DOCS) -> list[tuple[str, int]]:
-    """(text, label) of the documents of each class with the smallest id hash, of at most DOC_CHARS characters.
+def sample(documents: DataFrame, labels: DataFrame, *, toxic: int = TOXIC_DOCS, clean: int = CLEAN_DOCS) -> list[tuple[str, int]]:
+    """(text, label) of up to so many documents of each class, those with the smallest id hash.
 
-    labelled(doc_id, text, label); null texts and labels teach nothing.
+    documents(doc_id, text), labels(doc_id, label). Ids are chosen from the labels
+    alone, twice as many as wanted, and sent to the documents, so no text is dealt out.
+    Texts that are null or have over DOC_CHARS characters teach nothing; of documents
+    with one id the least text counts, of its labels the greatest.
     """
-    rows = labelled.where((F.length("text") <= DOC_CHARS) & F.col("label").isNotNull()).select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    found = []
+    one = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    counts = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = []
     for label, n in ((1, toxic), (0, clean)):
-        found += [(r["text"], label) for r in hash_sample(rows.where(F.col("label") == label), "doc_id", counts.get(label, 0), n).collect()]
-    return found
+        rows = hash_sample(one.where(F.col("label") == label), "doc_id", counts.get(label, 0), 2 * n).collect()
+        chosen += [(r["doc_id"], label, i) for i, r in enumerate(rows)]
+    ids = documents.sparkSession.createDataFrame(chosen, "doc_id long, label int, i int")
+    texts = documents.where(F.length("text") <= DOC_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label", "i").agg(F.min("text").alias("text")).collect()  # 2 * (toxic + clean) ids and texts
+    found = sorted(found, key=lambda r: (-r["label"], r["i"]))
+    return [(r["text"], 1) for r in found if r["label"] == 1][:toxic] + [(r["text"], 0) for r in found if r["label"] == 0][:clean]
 
 
 class Scorer:
@@ -344,6 +352,5 @@ def keep_clean(documents: DataFrame, net: Network | None) -> DataFrame:
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Network | None:
-    """Train on documents(doc_id, text) joined with labels(doc_id, label) by their ids."""
-    one = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    return fit(sample(documents.select("doc_id", "text").join(one, "doc_id")))
+    """Train on documents(doc_id, text) with labels(doc_id, label); see sample()."""
+    return fit(sample(documents, labels))
