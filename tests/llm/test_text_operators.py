@@ -176,8 +176,10 @@ def test_toxicity(spark):
     assert all(0 <= s <= 1 and p == (s >= 0.5) for _, s, p in got)
     kept = toxicity.keep_clean(d, net)
     assert kept.columns == d.columns and kept.count() == sum(1 for _, _, p in got if not p)
-    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:50]] + [(0, None), (None, 1)], "doc_id long, label int")
-    assert len(toxicity.sample(d.where("false").unionByName(docs(spark, [(i, t) for i, t, _ in rows[:50]])).join(labels.where("label is not null"), "doc_id"), toxic=5, clean=7)) == 12
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:50]] + [(0, None), (None, 1), (900, 1)], "doc_id long, label int")
+    some = toxicity.sample(docs(spark, [(i, t) for i, t, _ in rows[:50]] + [(rows[1][0], "again")] + odd), labels, toxic=5, clean=7)
+    assert sorted(y for _, y in some) == [0] * 7 + [1] * 5
+    assert toxicity.sample(d.where("false"), labels) == toxicity.sample(d, labels.where("false")) == []
     assert toxicity.fit([]) is None and toxicity.fit([("a", 1)]) is None
     assert {r["score"] for r in toxicity.score(d, None).collect()} == {0.0}
 
