@@ -9,7 +9,8 @@ source keeps its target up to the last fractional document.
 
 Pairs are folded within buckets of about BUCKET documents of one source; every
 bucket leaves at most one fractional document, and those meet in the next level
-of the tree, until each source has one bucket. A level reads 1/BUCKET of the rows
+of the tree, until each source has one bucket, where the last one is rounded and
+others make up for it. A level reads 1/BUCKET of the rows
 of the level before, and no bucket depends on the size of its source, so a source
 with a third of all rows is dealt over a third of all buckets.
 
@@ -92,6 +93,28 @@ def _fold(items: Column, seed: int, level: int) -> Column:
     return F.aggregate(items, start, pair)
 
 
+def _settle(fold: Column, seed: int) -> Column:
+    """The items of a source's last bucket, all whole: the fractional one is rounded at random, and where
+    that moves the source off its target, they are turned over, the longest first, while it brings it nearer.
+    """
+    carry, out = fold["carry"], fold["out"]
+    up = (uniform(F.lit(seed), F.lit(-1), carry["doc_id"]) < carry["frac"]).cast("double")
+    last = F.struct(carry["doc_id"].alias("doc_id"), carry["size"].alias("size"), up.alias("frac"))
+    off = F.coalesce((up - carry["frac"]) * carry["size"], F.lit(0.0))
+    item = "struct<order:bigint,doc_id:bigint,size:bigint,frac:double>"
+    start = F.struct(off.alias("off"), F.array().cast(f"array<{item}>").alias("out"))
+
+    def step(state: Column, e: Column) -> Column:
+        taken = e["frac"] > 0.5
+        turn = (F.when(taken, state["off"]).otherwise(-state["off"]) > 0) & (e["size"] < 2 * F.abs(state["off"]))
+        frac = F.when(turn != taken, 1.0).otherwise(0.0)
+        move = F.when(~turn, 0.0).when(taken, -e["size"]).otherwise(e["size"])
+        return F.struct((state["off"] + move).alias("off"), F.concat(state["out"], F.array(F.struct(e["order"].alias("order"), e["doc_id"].alias("doc_id"), e["size"].alias("size"), frac.alias("frac")))).alias("out"))
+
+    ordered = F.array_sort(F.transform(F.when(carry.isNull(), out).otherwise(F.concat(out, F.array(last))), lambda x: F.struct((-x["size"]).alias("order"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["frac"].alias("frac"))))
+    return F.transform(F.aggregate(ordered, start, step)["out"], lambda x: F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["frac"].alias("frac")))
+
+
 def mix(documents: DataFrame, *, text: str = "text", seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken; one row for each of documents.
 
@@ -129,10 +152,9 @@ def mix(documents: DataFrame, *, text: str = "text", seed: int = 7, weights: tup
         spread = F.pmod(F.xxhash64(F.lit(seed + level), F.col("doc_id"), F.col("size")), F.greatest(F.lit(1).cast("long"), buckets))
         grouped = items.groupBy("source", "n", "source_size", "target", "base", spread.alias("bucket")).agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "doc_id", "size", "frac"))).alias("items"))
         folded = stored(grouped.withColumn("fold", _fold(F.col("items"), seed, level)).drop("items"), f"level{level}")
-        parts.append(folded.select("*", F.explode("fold.out").alias("x")).select("x.doc_id", "source", "x.size", "source_size", "target", "base", (F.col("x.frac") > 0.5).cast("int").alias("extra")))
-        left = folded.where(F.col("fold.carry").isNotNull()).select("fold.carry.doc_id", "source", "fold.carry.size", "source_size", "target", "base", "n", "fold.carry.frac")
-        if not widest:  # one bucket a source: its last document is rounded by itself
-            parts.append(left.select(*cols, (uniform(F.lit(seed), F.lit(-1), F.col("doc_id")) < F.col("frac")).cast("int").alias("extra")))
+        whole = F.when(buckets <= 1, _settle(F.col("fold"), seed)).otherwise(F.col("fold.out"))
+        parts.append(folded.select("*", F.explode(whole).alias("x")).select("x.doc_id", "source", "x.size", "source_size", "target", "base", (F.col("x.frac") > 0.5).cast("int").alias("extra")))
+        left = folded.where((buckets > 1) & F.col("fold.carry").isNotNull()).select("fold.carry.doc_id", "source", "fold.carry.size", "source_size", "target", "base", "n", "fold.carry.frac")
         items, buckets, level = left, F.ceil(buckets / BUCKET), level + 1
     out = parts[0]
     for p in parts[1:]:
