@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def shipped(spark: SparkSession, value: object):
+    """A broadcast of an object with its class, which workers need not be able to import; see received()."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared) -> object:
+    return pickle.loads(shared.value)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a scratch table in the shared folder and read it again.
 

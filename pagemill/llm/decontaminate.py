@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import fresh, stored
+from pagemill.llm.common import fresh, received, shipped, stored
 
 #: Words of a test phrase; an item with fewer is one phrase.
 WINDOW = 10
@@ -167,11 +167,11 @@ def search(index: DataFrame, block, *, slop: int = 0) -> DataFrame:
     (first, past the last) that matches cover, merged. slop 0 matches exact
     phrases; a larger one also phrases whose words lie up to slop places from where
     the phrase has them, counted from its rarest word (then a span is where the
-    phrase would lie, cut to the text). block: a broadcast Block.
+    phrase would lie, cut to the text). block: a Block, shipped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Block = block.value
+        own: Block = received(block)
         for batch in batches:
             postings = np.diff(batch.column("positions").offsets.to_numpy())
             past, i = np.cumsum(postings), 0
@@ -232,7 +232,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = W
         index = stored(build_index(documents, spark.sparkContext.broadcast(block.vocabulary)), "postings")
         block.order(term_counts(index, len(block.vocabulary)))
         base = base or index
-        found.append(search(index, spark.sparkContext.broadcast(block), slop=slop))
+        found.append(search(index, shipped(spark, block), slop=slop))
     if not found:
         found = [build_index(documents, spark.sparkContext.broadcast({})).select("doc_id", "th", "n_words", F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("spans"))]
     if len(found) == 1:

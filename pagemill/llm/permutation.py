@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import hash_sample, stored
+from pagemill.llm.common import hash_sample, received, shipped, stored
 
 #: Pivots, how many of them represent a vector, and the sample they are drawn from.
 PIVOTS, PREFIX, SAMPLE = 256, 64, 8192
@@ -78,12 +78,13 @@ def build_index(vectors: DataFrame, *, vec: str = "embedding") -> tuple[DataFram
     rows = rows.where(F.size("vec") == dim)
     square = rows.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
     pivots = Pivots(np.array([x for x in sample if len(x) == dim]), float(square) ** 0.5)
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors
+    shared = shipped(rows.sparkSession, pivots)  # PIVOTS vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Pivots = received(shared)
         for batch in batches:
             x = matrix(batch.column(1), dim)
-            own = shared.value.nearest(shared.value.lift(x))
+            own = known.nearest(known.lift(x))
             lists = pa.ListArray.from_arrays(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32), own.ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["vec_id", "vec", "pivots"])
 
@@ -92,7 +93,7 @@ def build_index(vectors: DataFrame, *, vec: str = "embedding") -> tuple[DataFram
 
 def _search(shared_pivots, shared_queries, dim: int, k: int, part: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots: Pivots = shared_pivots.value
+        pivots: Pivots = received(shared_pivots)
         query_ids, queries = shared_queries.value
         own = pivots.nearest(np.concatenate([queries, np.zeros((len(queries), 1))], 1))
         m = pivots.prefix
@@ -162,7 +163,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, vec: str = "embedding", k
     if pivots is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = usable(queries, vec).where(F.size("vec") == dim).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    shared, parts, held = spark.sparkContext.broadcast(pivots), [], []
+    shared, parts, held = shipped(spark, pivots), [], []
 
     def search_block() -> DataFrame:
         block = np.array([r["vec_id"] for r in held]), np.array([r["vec"] for r in held])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import hash_sample
+from pagemill.llm.common import hash_sample, received, shipped
 from pagemill.llm.decontaminate import words
 
 WINDOW, STRIDE = 24, 16
@@ -328,10 +328,11 @@ def score(documents: DataFrame, net: Network | None) -> DataFrame:
     score: from 0 to 1, the higher the likelier label 1; predicted: 1 from 0.5. Texts
     without words, and null ones, score 0; so do all where nothing could be learned.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(net)  # MAX_WORDS + MAX_GRAMS short vectors
+    shared = shipped(documents.sparkSession, net)  # MAX_WORDS + MAX_GRAMS short vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value) if shared.value else None
+        own = received(shared)
+        scorer = Scorer(own) if own else None
         for batch in batches:
             s = _scores(scorer, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
@@ -341,10 +342,11 @@ def score(documents: DataFrame, net: Network | None) -> DataFrame:
 
 def keep_clean(documents: DataFrame, net: Network | None) -> DataFrame:
     """The rows of documents that score under 0.5, as they are."""
-    shared = documents.sparkSession.sparkContext.broadcast(net)
+    shared = shipped(documents.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value) if shared.value else None
+        own = received(shared)
+        scorer = Scorer(own) if own else None
         for batch in batches:
             yield batch.filter(pa.array(_scores(scorer, batch.column("text")) < 0.5))
 
