@@ -2,7 +2,9 @@
 
 A zstandard raw-content dictionary is made for each language from a bounded
 sample of labelled documents. A text is cut into segments, every segment is
-compressed with every dictionary, and the language with the fewest bytes wins.
+compressed with every dictionary, and the language with the fewest bytes wins. A
+word that repeats within a segment is encoded once, as its repeats cost any
+dictionary the same and would bury what sets the languages apart.
 A narrow margin to the second language rejects the answer.
 """
 
@@ -16,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import small_batches, uniform
+
 #: Bounds of what is learned from: documents and bytes of text for each language, characters of one document, and languages.
 SAMPLE_DOCS, SAMPLE_BYTES, DOC_CHARS, MAX_LANGUAGES = 256, 1 << 17, 512, 256
 SEGMENT = 2048
@@ -29,12 +33,16 @@ def learn(labelled: DataFrame, *, docs: int = SAMPLE_DOCS, most_bytes: int = SAM
     Of each language the `docs` documents with the smallest id hash are read; null
     languages and texts teach nothing.
     """
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", uniform(F.col("doc_id")).alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    few = rows.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("i") <= docs)
-    few = few.select("lang", "i", F.left("text", F.lit(DOC_CHARS)).alias("text"))  # so that no odd document fills a dictionary
+    if not counts:
+        return []
+    # A cut on the hash leaves about twice the sample before anything is ranked.
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2.0 * docs + 100) / n))))
+    some = rows.where(F.col("h") < F.element_at(share, F.col("lang"))).select("lang", "h", F.left("text", F.lit(DOC_CHARS)).alias("text"))  # so that no odd document fills a dictionary
+    few = some.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("i") <= docs)
     own: dict[str, bytes] = dict.fromkeys(counts, b"")
     for r in sorted(few.collect(), key=lambda r: (r["lang"], r["i"])):
         own[r["lang"]] = (own[r["lang"]] + _plain(r["text"]) + b"\n")[:most_bytes]
@@ -46,7 +54,7 @@ def _plain(text: str) -> bytes:
     return re.sub(r"[\W\d_]+", " ", text.lower()).encode()
 
 
-def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, level: int = 3, min_margin: float = 0.01) -> DataFrame:
+def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, level: int = 9, min_margin: float = 0.01) -> DataFrame:
     """doc_id, lang_pred, score, margin, rejected; one row for each of documents.
 
     lang_pred: `und` where the text is null or has no letter, or nothing was
@@ -54,6 +62,7 @@ def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, level: int
     saved against the second language, as a part of the second's. rejected: the
     margin is under min_margin. score: the softmax of the sizes, 0 for `und`.
     """
+    small_batches(documents.sparkSession)
     names = [name for name, _ in model]
     shared = documents.sparkSession.sparkContext.broadcast([own for _, own in model])  # at most MAX_LANGUAGES * SAMPLE_BYTES
 
@@ -74,7 +83,7 @@ def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, level: int
                     found.append("und"), scores.append(0.0), margins.append(0.0), rejected.append(True)
                     continue
                 raw = _plain(text)
-                segments = [raw[i : i + SEGMENT] for i in range(0, len(raw), SEGMENT)]
+                segments = [b" ".join(dict.fromkeys(raw[i : i + SEGMENT].split())) for i in range(0, len(raw), SEGMENT)]
                 sizes = np.array([sum(len(pack(s)) for s in segments) for pack in packers], float)
                 best = int(sizes.argmin())
                 second = float(np.partition(sizes, 1)[1]) if len(sizes) > 1 else float(len(raw) + 16)
