@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import small_batches
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is cut before byte pairs are merged (a fixed value of this vocabulary).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -72,6 +74,7 @@ class Codec:
 
 def load_tokenizer(spark: SparkSession, path: str = TOKENIZER):
     """The vocabulary's file, read on the driver and broadcast (under 1 MB)."""
+    small_batches(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 

@@ -7,7 +7,7 @@ import contextlib
 import pickle
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,25 @@ from pyspark.sql import functions as F
 SEED = 42
 
 
+#: Rows of an Arrow batch between Spark and Python. Batches of the default 10,000 documents
+#: keep some hundred MB of buffers in either process.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows, unless they are set lower."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
     Only where the setting is missing (a local session, as in tests) a temporary
     folder takes its place; a cluster without the setting is an error.
     """
+    small_batches(spark)
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
@@ -50,6 +63,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def shipped(spark: SparkSession, value: object):
     """A broadcast of an object with its class, which workers need not be able to import; see received()."""
+    small_batches(spark)
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
 
@@ -117,10 +131,6 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of the column, at least one row each."""
     _, at = utf8(batch.column(column))

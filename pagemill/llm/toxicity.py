@@ -32,7 +32,7 @@ TOXIC_DOCS, CLEAN_DOCS, DOC_CHARS = 1000, 2500, 6000
 MAX_WORDS, MAX_GRAMS, DIM, HIDDEN = 30_000, 30_000, 8, 8
 EPOCHS, BATCH, RATE = 6, 128, 0.01
 #: Words whose inputs a scoring task remembers.
-CACHE = 200_000
+CACHE = 50_000
 
 
 def grams(word: bytes) -> list[bytes]:
@@ -287,7 +287,7 @@ class Scorer:
         for i in range(0, len(new), 4096):
             some = self.net.project(self.net.inputs(new[i : i + 4096]))
             if self.used + some.shape[1] > self.known.shape[1]:
-                grown = np.zeros((2, 2 * (self.used + some.shape[1]), some.shape[2]), np.float32)
+                grown = np.zeros((2, self.used + some.shape[1] + CACHE // 2, some.shape[2]), np.float32)
                 grown[:, : self.used] = self.known[:, : self.used]
                 self.known = grown
             self.known[:, self.used : self.used + some.shape[1]] = some
