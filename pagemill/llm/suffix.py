@@ -247,7 +247,8 @@ def repeated_spans(documents: DataFrame, *, depth: int = DEPTH, gram: int = GRAM
     dealt = stored(documents.select("doc", "th", "text").mapInArrow(_deal(depth, gram), "a long, f long, doc long, th long, start int, n int, off int"), "dealt")
     # First digit: grams that occur twice at least.
     live = dealt.groupBy("a").agg(F.count(F.lit(1)).alias("n_a"), (F.min("f") != F.max("f")).alias("many")).where("n_a > 1").select("a", "many")
-    live = stored(dealt.join(live, "a"), "live")
+    # Stored on its own, so that the join deals both sides afresh and Spark can split a gram with many runs.
+    live = stored(dealt.join(stored(live, "grams"), "a"), "live")
     # Second digit: the run's content.
     by = live.groupBy("a", "f").agg(F.count(F.lit(1)).alias("c"), F.max("many").alias("many"), F.min(F.struct("doc", "th", "start", "n", "off")).alias("x"))
     by = stored(by.select("a", "f", "c", "many", "x.*"), "contents")
