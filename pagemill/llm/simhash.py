@@ -16,7 +16,7 @@ meet link to the smallest. No pair is lost and no group grows with its copies.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import accumulate, combinations
 
@@ -198,9 +198,14 @@ def near_duplicates(documents: DataFrame, *, width: int = 3, t: int = 2) -> Data
 
 def classes(rows: DataFrame, t: int) -> DataFrame:
     """fp, least: for each fingerprint of rows(fp, x) the least x of all that are reachable from it over links."""
+    return least_of(rows, lambda fps: links(fps, t))
+
+
+def least_of(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """classes() by the links(a, b) that `linked` gives for fps(fp)."""
     x = next(c for c in rows.columns if c != "fp")
     fps = checkpointed(rows.groupBy("fp").agg(F.min(x).alias("least")))
-    found = components(links(fps.select("fp"), t))
+    found = components(linked(fps.select("fp")))
     roots = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("least"))
     return roots.select("fp", "root").join(least, "root").select("fp", "least")
@@ -212,19 +217,28 @@ def keep_one(documents: DataFrame, *, width: int = 3, t: int = 2) -> DataFrame:
     Rows with equal doc_id go by their text's hash; of equal rows one stays. Null ids
     come first.
     """
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(x.as_py(), width) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["d", "t", "fp"])
 
-    rows = stored(documents.select(key.alias("key"), "text").select("key.*", "text").mapInArrow(run, "d long, t long, fp long"), "fingerprints")
-    by_fp = classes(rows.select("fp", F.struct("d", "t").alias("key")), t).withColumnRenamed("fp", "_fp")
+    rows = stored(documents.select(row_key().alias("key"), "text").select("key.*", "text").mapInArrow(run, "d long, t long, fp long"), "fingerprints")
+    return keep_least(documents, rows, classes(rows.select("fp", F.struct("d", "t").alias("key")), t))
+
+
+def row_key() -> Column:
+    """What tells rows apart: doc_id, and the text's hash."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+
+
+def keep_least(documents: DataFrame, rows: DataFrame, by_fp: DataFrame) -> DataFrame:
+    """The documents that are the least of their class, by rows(d, t, fp) and by_fp(fp, least)."""
+    by_fp = by_fp.withColumnRenamed("fp", "_fp")
     judged = rows.join(by_fp, F.col("fp") == F.col("_fp")).groupBy("d", "t").agg(F.max((F.struct("d", "t") == F.col("least")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("n"))
     judged = stored(judged.where("stays = 0 or n > 1"), "judged")
     own = fresh(documents, "_key")
-    keyed = documents.withColumn(own, key)
+    keyed = documents.withColumn(own, row_key())
     # A stored list has a known size, by which Spark chooses how to join it.
     gone = judged.select(F.struct("d", "t").alias("_gone"))
     out = keyed.join(gone, keyed[own] == gone["_gone"], "left_anti").drop(own)

@@ -164,3 +164,42 @@ def test_repeated_rows_and_long_texts(spark, monkeypatch):
     got = suffix.remove_repeats(table(spark, texts), depth=40, gram=10).collect()
     want = removed([t.encode() for _, t in texts], 40)
     assert Counter((r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got) == Counter(want)
+
+
+def similar_groups(rows):
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    alike = [(i, j) for i, s in enumerate(sets) for j in range(i) if s == sets[j] or 5 * len(s & sets[j]) >= 4 * len(s | sets[j])]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
+    return {rows[i][0] for i in range(len(rows)) if root[i] == i}
+
+
+def test_pipeline_drops_near_copies_at_similarity(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = " ".join(word() for _ in range(12))
+    rows = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(3, 200))]
+        for edits in (0, 1, 2, 4, 8):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append(" ".join(copy) + (f" {line}" if rng.random() < 0.3 else ""))
+    crowd = [word() for _ in range(120)]
+    for _ in range(90):
+        copy = list(crowd)
+        for _ in range(2):
+            copy[rng.randrange(120)] = word()
+        rows.append(" ".join(copy))
+    rows = list(enumerate([*rows, None, "", "One two", "one TWO"]))
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, table(spark, rows), "").collect()}
+    assert got == similar_groups(rows)
+    assert len(rows) - len(got) > 60
