@@ -142,13 +142,24 @@ def figure_crop(spark, sf_dir):
     return G.crop(_candidates(spark, sf_dir), _drawings(spark, sf_dir)[2], 144).select("doc_id", "caption", "left_px", "top_px", "right_px", "bottom_px", "valid")
 
 
-def _tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of OCR output for each document: twelve fields a row, some broken."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, 60).alias("w"))
+def _tsv_rows(d: DataFrame) -> DataFrame:
+    """d(doc_id, page_number, w) as OCR output: twelve fields a row, some broken."""
     row = lambda w, i: F.concat_ws("\t", F.when(i % 9 == 8, "4").otherwise("5"), *[F.lit("1")] * 5, (i % 10 * 50).cast("string"), F.floor(i / 10).cast("string"), F.when(i % 13 == 12, "wide").otherwise((F.length(w) * 5).cast("string")), F.lit("10"), F.when(i % 7 == 6, "n/a").otherwise((F.col("doc_id") % 40 + 60 + i % 3).cast("string")), w)
     return d.select("doc_id", "page_number", F.concat(F.lit("head\n"), F.array_join(F.transform("w", row), "\n")).alias("tsv"))
 
 
+def _tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 60 words of each document, which is what the SQL twins have."""
+    return _tsv_rows(table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, 60).alias("w")))
+
+
+def _tsv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of each document, 60 a page."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("i", "t"))
+    d = d.groupBy("doc_id", (F.floor(F.col("i") / 60) + 1).cast("int").alias("page_number")).agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("all"))
+    return _tsv_rows(d.select(*PAGE, F.transform("all", lambda x: x["t"]).alias("w")))
+
+
 def ocr_tsv_parse(spark, sf_dir):
     return O.parse_tsv(_tsv(spark, sf_dir))
 
@@ -159,7 +170,7 @@ def ocr_confidence(spark, sf_dir):
 
 
 def ocr_positioned_text(spark, sf_dir):
-    w = O.parse_tsv(_tsv(spark, sf_dir)).withColumn("line_idx", F.col("top"))
+    w = O.parse_tsv(_tsv_pages(spark, sf_dir)).withColumn("line_idx", F.col("top"))
     return O.layout_html(O.positioned_text(w))
 
 

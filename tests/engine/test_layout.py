@@ -151,3 +151,15 @@ def test_vision(spark):
     assert {r["json"]: r["code"] for r in V.validate(p, pages).collect()} == cases
     m = spark.createDataFrame([("a b a", [("b", "\\beta"), ("a", "y")])], "t string, f array<struct<source_text:string,latex:string>>")
     assert m.select(V.merge_formulas(m["t"], m["f"])).first()[0] == "a $$ \\beta $$ a"
+
+
+def test_ocr_text_holds_all_words(spark, tmp_path):
+    from pagemill.plans import layout
+
+    words = [f"w{i}" for i in range(150)]
+    spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "one")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["page_number"]): " ".join(str(x) for x in r) for r in layout.ocr_positioned_text(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [(1, 1), (1, 2), (1, 3), (3, 1)]
+    for i, w in enumerate(words):
+        k = i % 60
+        assert (k % 9 == 8 or k % 13 == 12 or k % 7 == 6) != (w in got[1, i // 60 + 1].replace("<", " ").replace(">", " ").split())
