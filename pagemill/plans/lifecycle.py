@@ -92,7 +92,7 @@ def asset_anti_join(spark, sf_dir):
 
 
 def vision_validate(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.substring("text", 1, 200).alias("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), "text")
     k = F.col("doc_id")
     source = F.when(k % 5 == 4, "not there").otherwise(F.regexp_replace(F.substring("text", 1, 8), r'["\\\s]+', " "))
     json = F.concat(F.lit('{"schema_version":"1.0","page":{"page_number":'), F.when(k % 5 == 1, "2").otherwise("1"), F.lit('},"paragraphs":[{"text":"p","page":{"page_number":1},"confidence":'), F.when(k % 5 == 2, "0.5").otherwise("0.9"), F.lit('}],"formulas":[{"source_text":"'), source, F.lit('","latex":"x","page":{"page_number":1},"confidence":0.95}],"tables":[],"captions":[]'), F.when(k % 5 == 3, ',"more":1}').otherwise("}"))

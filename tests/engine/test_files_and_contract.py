@@ -39,3 +39,11 @@ def test_entry_works_without_the_optional_part(tmp_path):
         os.symlink(f"{ROOT}/{name}", tmp_path / name) if name.endswith(".py") else None
     code = "import sys\nclass No:\n  def find_spec(self, n, p=None, t=None):\n    if n.startswith('pagemill.llm') or n == 'corpus_pipeline': raise ModuleNotFoundError(f'No module named {n!r}', name=n)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nq = e.queries()\nassert q and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q\nassert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_vision_proposals_are_held_against_whole_pages(spark, tmp_path):
+    from pagemill.plans import lifecycle
+
+    spark.createDataFrame([(4, "word " * 60 + "not there"), (9, "word " * 60)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    codes = {r["doc_id"]: r["code"] for r in lifecycle.vision_validate(spark, str(tmp_path)).collect()}
+    assert codes.get(9) and codes.get(4) != codes[9]
