@@ -118,11 +118,44 @@ def test_vectors_that_take_no_part(spark):
     assert permutation.nearest(few, few).count() == 6
 
 
-def test_query_blocks(spark, monkeypatch):
+def test_split_files(spark, monkeypatch):
     monkeypatch.setattr(permutation, "QUERIES", 7)
-    x = search_case(100, 2)
+    monkeypatch.setattr(permutation, "LIST", 20)
+    x = search_case(500, 2)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    assert permutation.nearest(df, df.where("vec_id % 5 = 0")).count() == 400
+    got = {}
+    for r in permutation.nearest(df, df.where("vec_id % 5 = 0")).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert {q: [v[k] for k in sorted(v)] for q, v in got.items()} == brute(np.arange(500), x, range(0, 500, 5), 20)
+
+
+def test_batches_and_partitions_change_nothing(spark):
+    x = search_case(4000, 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, got = spark.conf.get(name), []
+    for rows, parts in ((1000, 2), (37, 9)):
+        spark.conf.set(name, str(rows))
+        some = df.repartition(parts)
+        got.append(sorted(tuple(r) for r in permutation.nearest(some, some.where("vec_id % 20 = 0")).collect()))
+    spark.conf.set(name, before)
+    assert got[0] == got[1] and len(got[0]) == 4000
+
+
+def test_repeated_ids(spark):
+    x = search_case(40, 4)
+    rows = [(i % 30, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 30 + [(7, x[9].tolist())] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = {}
+    for i, v in rows:
+        asked[i] = min(v, asked.get(i, v))
+    got = {}
+    for r in permutation.nearest(df, df).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], round(r["score"], 9), r["vec_id"]))
+    assert set(got) == set(range(30))
+    for q, found in got.items():
+        want = sorted((-round(float(np.array(asked[q]) @ np.array(v)), 9), i) for i, v in rows if i != q)[:20]
+        assert [(-s, i) for _, s, i in sorted(found)] == want
 
 
 def test_pipeline(spark, tmp_path):
