@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -147,6 +148,43 @@ def test_language(spark):
     assert language.classify(df.where("false"), model).count() == 0
 
 
+def test_language_against_a_plain_loop(spark, monkeypatch):
+    import zstandard as Z
+
+    rng = random.Random(9)
+    names = [f"l{i}" for i in range(5)]
+    parts = {n: ["".join(rng.choice("abcdefghijkmnoprstuvz") for _ in range(rng.randint(2, 4))) for _ in range(9)] for n in names}
+    some = lambda n, k: " ".join("".join(rng.choice(parts[n]) for _ in range(rng.randint(1, 3))) for _ in range(k))
+    model = [(n, some(n, 300).encode()) for n in names[:4]] + [(names[4], b"tiny")]
+    texts = [some(rng.choice(names), rng.choice([1, 3, 40, 2000])) for _ in range(60)] + ["Ab1cd " * 30000, "é", None, "42"]
+    rows = [(i // 2, t, None, "x") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, best string")
+
+    def size(own, text):
+        raw = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        d = Z.ZstdCompressionDict(own, dict_type=Z.DICT_TYPE_RAWCONTENT) if len(own) >= 8 else None
+        c = Z.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(c.compress(raw[i : i + 2048])) for i in range(0, len(raw), 2048))
+
+    want = []
+    for i, t, _, _ in rows:
+        if t is None or not any(map(str.isalpha, t)):
+            want.append((i, "und", 0.0))
+            continue
+        sizes = [size(own, t) for _, own in model]
+        few = sorted(sizes)
+        want.append((i, names[sizes.index(few[0])], (few[1] - few[0]) / few[1]))
+    for block in (256, 2):
+        monkeypatch.setattr(language, "LANGUAGES", block)
+        got = [(r["doc_id"], r["lang_pred"], r["margin"]) for r in language.classify(df, model).collect()]
+        assert sorted((i, n, round(m, 9)) for i, n, m in got) == sorted((i, n, round(m, 9)) for i, n, m in want)
+        scores = {round(r["score"], 9) for r in language.classify(df.where("doc_id = 3"), model).collect()}
+        assert block == 256 or scores == seen
+        seen = scores
+    learned = language.learn(spark.createDataFrame([(i, some(n, 5), n) for i, n in enumerate(names * 3)], "doc_id long, text string, lang string"))
+    assert [n for n, _ in learned] == names
+
+
 # --- toxicity
 
 
