@@ -2,21 +2,23 @@
 
 A window is the first DEPTH bytes of a suffix: two suffixes that agree that far are
 one group, and groups of two or more are exactly the repeated windows. Suffixes are
-dealt into groups by most-significant-digit passes that stop at DEPTH, and whatever
-is alone after a pass is not looked at again:
+put in order by most-significant-digit passes that stop at DEPTH, and whatever is
+alone after a pass is not looked at again:
 
 1. The first digit is a gram of GRAM bytes inside the window: the one with the
    least hash (the last such, on ties). Equal windows have it at the same offset,
-   and neighbouring windows share it, so a run of windows (about 70) is dealt as
-   one row: its gram's hash, the hash of the run's bytes, where it is.
-2. The second digit is the run's whole content. Equal runs: all their windows repeat.
-3. Grams that are left with several contents are sorted down to the full depth:
-   one row of each content is read again, and its windows are grouped by gram,
-   offset and hash of all DEPTH bytes. Contents under one gram are compared in one
-   task up to CROWD of them; beyond, every window is a row of its own and is counted
-   by an ordinary aggregate, so no gram needs a task of its own.
-
-A digit is compared by a 64-bit hash; a group has to agree in two independent ones.
+   and neighbouring windows share it, so a run of windows (about 70) is one row:
+   its gram's hash, two hashes of the run's bytes, where it is. Rows are sorted over
+   all partitions by range, text and place included, so a gram or a passage that a
+   third of all rows share is dealt over many partitions. A gram that occurs once
+   is dropped.
+2. Rows that agree in the gram and in both content hashes (192 bits) are one
+   content. All windows of a content that occurs twice repeat.
+3. Of grams with several contents, one row of each content is read again, and its
+   windows are sorted under their gram and its offset by successive digits of eight
+   bytes, down to all DEPTH bytes; windows that are alone are dropped after each
+   digit. Up to CROWD contents of a gram are sorted in one task; beyond, every
+   window is a row, and Spark groups them by their bytes.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pagemill.llm.common import pieces, stored, utf8
 DEPTH, GRAM = 200, 64
 #: Bytes hashed at once; a longer text is cut into parts that overlap by a window.
 CHUNK = 1 << 19
-#: Contents under one gram that are still compared in one task.
+#: Contents under one gram that are still sorted in one task.
 CROWD = 1000
 #: Odd multipliers of the two rolling hashes, and of the final mix (fixed values).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -89,19 +91,21 @@ def runs(raw: np.ndarray, at: np.ndarray, first: Rolling, second: Rolling, depth
     """Runs of windows with one gram in texts raw[at[i]:at[i + 1]].
 
     Gives text number, first window's start in the buffer, number of windows, the
-    gram's offset from that start, the gram's hash and the content's hash.
+    gram's offset from that start, the gram's hash and two hashes of the content.
     """
     none = np.empty(0, np.int64)
+    nothing = none, none, none, none, *[none.astype(np.uint64)] * 3
     if len(raw) < depth:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     valid = np.zeros(len(raw) + 1, np.int32)
     long = np.diff(at) >= depth
     np.add.at(valid, at[:-1][long], 1)
     np.add.at(valid, at[1:][long] - depth + 1, -1)
     starts = np.nonzero(np.cumsum(valid[:-1])[: len(raw) - depth + 1])[0]
     if not len(starts):
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    grams = first.every(first.sums(raw), gram)
+        return nothing
+    sums = first.sums(raw)
+    grams = first.every(sums, gram)
     keyed = (grams & ~np.uint64(LOW)) | (np.uint64(LOW) - np.arange(len(grams), dtype=np.uint64))
     place = LOW - (sliding_min(keyed, depth - gram + 1)[starts] & np.uint64(LOW)).astype(np.int64)
     new = np.ones(len(starts), bool)
@@ -109,8 +113,39 @@ def runs(raw: np.ndarray, at: np.ndarray, first: Rolling, second: Rolling, depth
     head = np.nonzero(new)[0]
     n = np.diff(np.append(head, len(starts)))
     begin, place = starts[head], place[head]
-    content = second.of(second.sums(raw), begin, begin + n - 1 + depth) + n.astype(np.uint64)
-    return np.searchsorted(at, begin, "right") - 1, begin, n, place - begin, grams[place], content
+    end = begin + n - 1 + depth
+    contents = [h.of(x, begin, end) + n.astype(np.uint64) for h, x in ((first, sums), (second, second.sums(raw)))]
+    return np.searchsorted(at, begin, "right") - 1, begin, n, place - begin, grams[place], *contents
+
+
+RUN = ["a", "f", "g", "doc", "th", "start", "n", "off"]
+RUN_TYPES = "a long, f long, g long, doc long, th long, start int, n int, off int"
+#: Rows of a judged batch: a run whose windows all repeat; a content of a gram with several; a content of a gram that may go on in another batch.
+WHOLE, SEVERAL, EDGE = 0, 1, 2
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted runs to kind, c (runs of a content) and the run.
+
+    A batch's first and last gram may go on in other batches, of other tasks even: of
+    those a row for each content goes on, with the runs counted here.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, f, g = (batch.column(i).to_numpy() for i in range(3))
+        new_gram, new = np.ones(len(a), bool), np.ones(len(a), bool)
+        new_gram[1:] = a[1:] != a[:-1]
+        new[1:] = new_gram[1:] | (f[1:] != f[:-1]) | (g[1:] != g[:-1])
+        head, content = np.nonzero(new)[0], np.cumsum(new) - 1
+        c, gram = np.bincount(content), (np.cumsum(new_gram) - 1)[head]
+        contents = np.bincount(gram)[gram]
+        edge = (gram == 0) | (gram == gram[-1])
+        whole = np.nonzero(c[content] > 1)[0]
+        rest = np.nonzero(edge | (contents > 1))[0]
+        kind = np.concatenate([np.full(len(whole), WHOLE), np.where(edge[rest], EDGE, SEVERAL)]).astype(np.int32)
+        rows = batch.take(pa.array(np.concatenate([whole, head[rest]])))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c[content[whole]], c[rest]])), *rows.columns, pa.array(kind)], ["c", *RUN, "kind"])
 
 
 def _deal(depth: int, gram: int):
@@ -122,11 +157,11 @@ def _deal(depth: int, gram: int):
                 keys = [part.column("doc").to_numpy(), part.column("th").to_numpy()]
                 for lo in range(0, max(1, len(raw) - depth + 1), CHUNK):  # more than one only for a text over CHUNK, which is alone
                     some = raw[lo : lo + CHUNK + depth - 1]
-                    text, begin, n, off, a, f = runs(some, at if len(some) == len(raw) else np.array([0, len(some)]), first, second, depth, gram)
+                    text, begin, n, off, a, f, g = runs(some, at if len(some) == len(raw) else np.array([0, len(some)]), first, second, depth, gram)
                     if not len(text):
                         continue
                     begin = begin + lo - at[text]
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(f.view(np.int64)), pa.array(keys[0][text]), pa.array(keys[1][text]), pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32))], ["a", "f", "doc", "th", "start", "n", "off"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (a, f, g)), *(pa.array(k[text]) for k in keys), *(pa.array(x.astype(np.int32)) for x in (begin, n, off))], RUN)
 
     return run
 
@@ -163,21 +198,46 @@ def _slices(depth: int):
     return run
 
 
-def _windows(batch: pa.RecordBatch, second: Rolling, depth: int):
-    """Row number, number in its run, gram, offset of the gram and hash of every window of the runs' bytes."""
+def _windows(batch: pa.RecordBatch):
+    """All bytes; and row number, number in its run and place in the bytes of every window of the runs."""
     raw, at = utf8(batch.column("bytes"))
     n = batch.column("n").to_numpy().astype(np.int64)
-    past = np.cumsum(n)
     row = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(len(row)) - np.repeat(past - n, n)
-    h = np.empty(len(row), np.uint64)
-    step = CHUNK // (2 * depth)  # a run has fewer than 2 * depth bytes, as its windows share a gram
-    for i in range(0, len(n), step):
-        j = min(len(n), i + step)
-        part = slice(past[i] - n[i], past[j - 1])
-        start = at[row[part]] + inner[part] - at[i]
-        h[part] = second.of(second.sums(raw[at[i] : at[j]]), start, start + depth)
-    return row, inner, batch.column("a").to_numpy()[row], batch.column("off").to_numpy()[row] - inner, h
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return raw, row, inner, at[row] + inner
+
+
+def repeated(raw: np.ndarray, place: np.ndarray, under: np.ndarray, depth: int) -> np.ndarray:
+    """Which of the windows raw[place : place + depth] equal another one under the same number.
+
+    Most-significant-digit passes over digits of eight bytes: groups that a digit
+    doesn't tell apart stay as they are, others are sorted by it and split, and what
+    is alone goes.
+    """
+    width = min(8, depth)
+    digits = np.ndarray(len(raw), ">u8", np.concatenate([raw, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    at = np.argsort(under, kind="stable")
+    head = np.ones(len(at), bool)
+    head[1:] = under[at[1:]] != under[at[:-1]]
+    for shift in [*range(0, depth - width, width), depth - width]:
+        alone = head & np.append(head[1:], True)
+        at, head = at[~alone], head[~alone]
+        if not len(at):
+            break
+        digit = digits[place[at] + shift].astype(np.uint64) >> np.uint64(64 - 8 * width)
+        group = np.cumsum(head) - 1
+        other = digit != digit[head][group]
+        if other.any():
+            mixed = np.zeros(group[-1] + 1, bool)
+            mixed[group[other]] = True
+            some = np.nonzero(mixed[group])[0]
+            order = some[np.lexsort((digit[some], group[some]))]
+            at[some], digit[some] = at[order], digit[order]
+            head[1:] |= digit[1:] != digit[:-1]
+    alone = head & np.append(head[1:], True)
+    out = np.zeros(len(place), bool)
+    out[at[~alone]] = True
+    return out
 
 
 def _spans(batch: pa.RecordBatch, row: np.ndarray, inner: np.ndarray, hit: np.ndarray, depth: int) -> pa.RecordBatch:
@@ -193,22 +253,18 @@ def _spans(batch: pa.RecordBatch, row: np.ndarray, inner: np.ndarray, hit: np.nd
     return pa.RecordBatch.from_arrays([pa.array(batch.column("doc").to_numpy()[row[head]]), pa.array(batch.column("th").to_numpy()[row[head]]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc", "th", "s", "e"])
 
 
-def _compare(depth: int):
+def _sort(depth: int):
     """Windows that several contents of one gram share; rows come sorted by gram."""
 
+    def done(rows: pa.RecordBatch) -> pa.RecordBatch:
+        raw, row, inner, place = _windows(rows)
+        a = rows.column("a").to_numpy()
+        gram = np.cumsum(np.concatenate([[0], a[1:] != a[:-1]]))[row]
+        off = rows.column("off").to_numpy()[row] - inner
+        return _spans(rows, row, inner, repeated(raw, place, gram * depth + off, depth), depth)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        second = Rolling(1, CHUNK + depth)
         kept: list[pa.RecordBatch] = []
-
-        def done(rows: pa.RecordBatch) -> pa.RecordBatch:
-            row, inner, a, off, h = _windows(rows, second, depth)
-            order = np.lexsort((h, off, a))
-            same = (a[order[1:]] == a[order[:-1]]) & (off[order[1:]] == off[order[:-1]]) & (h[order[1:]] == h[order[:-1]])
-            hit = np.zeros(len(row), bool)
-            hit[order[1:][same]] = True
-            hit[order[:-1][same]] = True
-            return _spans(rows, row, inner, hit, depth)
-
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 rows = pa.Table.from_batches([*kept, batch.slice(i, 2000)]).combine_chunks().to_batches()[0]
@@ -225,13 +281,13 @@ def _compare(depth: int):
 
 def _explode(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        second = Rolling(1, CHUNK + depth)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                rows = batch.slice(i, 500)
-                row, inner, a, off, h = _windows(rows, second, depth)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)), rows.column("c").take(take), rows.column("doc").take(take), rows.column("th").take(take), pa.array((rows.column("start").to_numpy()[row] + inner).astype(np.int32))], ["a", "off", "h", "c", "doc", "th", "s"])
+            for i in range(0, batch.num_rows, 100):
+                rows = batch.slice(i, 100)
+                raw, row, inner, place = _windows(rows)
+                bytes_, take = raw.tobytes(), pa.array(row)
+                windows = pa.array([bytes_[x : x + depth] for x in place.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([windows, *(rows.column(x).take(take) for x in ("c", "doc", "th")), pa.array((rows.column("start").to_numpy()[row] + inner).astype(np.int32))], ["w", "c", "doc", "th", "s"])
 
     return run
 
@@ -244,29 +300,29 @@ def repeated_spans(documents: DataFrame, *, depth: int = DEPTH, gram: int = GRAM
     """
     if not 1 <= gram <= depth < CHUNK // 4:
         raise ValueError("1 <= gram <= depth < a quarter of CHUNK")
-    dealt = stored(documents.select("doc", "th", "text").mapInArrow(_deal(depth, gram), "a long, f long, doc long, th long, start int, n int, off int"), "dealt")
-    # First digit: grams that occur twice at least.
-    live = dealt.groupBy("a").agg(F.count(F.lit(1)).alias("n_a"), (F.min("f") != F.max("f")).alias("many")).where("n_a > 1").select("a", "many")
-    # Stored on its own, so that the join deals both sides afresh and Spark can split a gram with many runs.
-    live = stored(dealt.join(stored(live, "grams"), "a"), "live")
-    # Second digit: the run's content.
-    by = live.groupBy("a", "f").agg(F.count(F.lit(1)).alias("c"), F.max("many").alias("many"), F.min(F.struct("doc", "th", "start", "n", "off")).alias("x"))
-    by = stored(by.select("a", "f", "c", "many", "x.*"), "contents")
-    whole = live.join(by.where("c > 1").select("a", "f"), ["a", "f"], "left_semi").select("doc", "th", F.col("start").alias("s"), (F.col("start") + F.col("n") + (depth - 1)).alias("e"))
-    # Full depth, for grams with several contents.
-    several = by.where("many").drop("many")
-    crowd = several.groupBy("a").agg(F.count(F.lit(1)).alias("n_f")).where(F.col("n_f") > CROWD).select("a", F.lit(True).alias("many"))
-    several = several.join(crowd, "a", "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    by_text = several.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "c", "many", "start", "n", "off")).alias("runs"))
+    dealt = stored(documents.select("doc", "th", "text").mapInArrow(_deal(depth, gram), RUN_TYPES), "dealt")
+    content = ["a", "f", "g"]
+    judged = stored(dealt.repartitionByRange(*content, "doc", "start").sortWithinPartitions(*content).mapInArrow(_judge, f"c long, {RUN_TYPES}, kind int"), "judged")
+    kind = lambda k: judged.where(F.col("kind") == k).drop("kind")
+    # Grams that go over batches: few rows, as each stands for a batch's runs of its content.
+    edges = stored(kind(EDGE), "edges")
+    met = stored(edges.groupBy(*content).agg(F.sum("c").alias("c"), F.min(F.struct("doc", "th", "start", "n", "off")).alias("x")), "met")
+    again = edges.where("c = 1").join(met.where("c > 1").select(*content), content, "left_semi")
+    whole = kind(WHOLE).drop("c", *content).unionByName(again.drop("c", *content))
+    whole = whole.select("doc", "th", F.col("start").alias("s"), (F.col("start") + F.col("n") + (depth - 1)).alias("e"))
+    several = met.groupBy("a").agg(F.count(F.lit(1)).alias("n_f")).where("n_f > 1").select("a", (F.col("n_f") > CROWD).alias("many"))
+    fields = ["a", "c", "many", "doc", "th", "start", "n", "off"]
+    contents = kind(SEVERAL).withColumn("many", F.lit(False)).select(*fields).unionByName(met.join(several, "a").select("a", "c", "many", "x.*"))
+    by_text = contents.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "c", "many", "start", "n", "off")).alias("runs"))
     packed = documents.select("doc", "th", "text").mapInArrow(_packed, "doc long, th long, packed binary")
     cut = by_text.join(packed, ["doc", "th"]).select("doc", "th", "packed", "runs").mapInArrow(_slices(depth), "a long, c long, many boolean, doc long, th long, start int, n int, off int, bytes binary")
     cut = stored(cut, "slices")
-    few = cut.where("not many").repartition("a").sortWithinPartitions("a").mapInArrow(_compare(depth), "doc long, th long, s int, e int")
+    few = cut.where("not many").repartition("a").sortWithinPartitions("a").mapInArrow(_sort(depth), "doc long, th long, s int, e int")  # CROWD contents of a gram at most
     out = whole.unionByName(few)
     if not cut.where("many").isEmpty():
-        each = cut.where("many").mapInArrow(_explode(depth), "a long, off int, h long, c long, doc long, th long, s int")
-        shared = each.groupBy("a", "off", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        out = out.unionByName(each.where("c = 1").join(shared, ["a", "off", "h"], "left_semi").select("doc", "th", "s", (F.col("s") + depth).alias("e")))
+        each = cut.where("many").mapInArrow(_explode(depth), "w binary, c long, doc long, th long, s int")
+        shared = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
+        out = out.unionByName(each.where("c = 1").join(shared, "w", "left_semi").select("doc", "th", "s", (F.col("s") + depth).alias("e")))
     return out
 
 

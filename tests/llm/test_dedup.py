@@ -146,11 +146,27 @@ def passages(seed):
     return texts + [texts[3], texts[3], "", None, "z" * 300, "ab" * 100, some(5), "y" + shared[0]]
 
 
-@pytest.mark.parametrize("depth,gram,crowd", [(20, 6, 1000), (20, 6, 2), (31, 31, 1000), (12, 1, 3)])
-def test_repeats(spark, monkeypatch, depth, gram, crowd):
+@pytest.mark.parametrize("depth", [1, 3, 8, 13, 40])
+def test_radix_passes(depth):
+    rng = np.random.default_rng(depth)
+    raw = np.concatenate([np.tile(rng.integers(0, 2, 50, np.uint8), 6), rng.integers(0, 256, 300, np.uint8)])
+    place = rng.permutation(len(raw) - depth + 1)
+    under = rng.integers(0, 4, len(place))
+    seen = Counter((u, raw[p : p + depth].tobytes()) for u, p in zip(under.tolist(), place.tolist(), strict=True))
+    want = [seen[u, raw[p : p + depth].tobytes()] > 1 for u, p in zip(under.tolist(), place.tolist(), strict=True)]
+    assert suffix.repeated(raw, place, under, depth).tolist() == want and any(want)
+    assert suffix.repeated(raw, place[:0], under[:0], depth).tolist() == []
+
+
+@pytest.mark.parametrize("depth,gram,crowd,batch", [(20, 6, 1000, 1000), (20, 6, 2, 3), (31, 31, 1000, 1), (12, 1, 3, 50)])
+def test_repeats(spark, monkeypatch, depth, gram, crowd, batch):
     monkeypatch.setattr(suffix, "CROWD", crowd)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(batch))
     texts = passages(depth)
     got = suffix.remove_repeats(table(spark, list(enumerate(texts))), depth=depth, gram=gram).collect()
+    spark.conf.set(name, before)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got}
     want = removed([(t or "").encode() for t in texts], depth)
     assert got == dict(enumerate(want))
