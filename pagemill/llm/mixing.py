@@ -2,20 +2,27 @@
 
 Each source has a target number of words; a document of a source with target t
 and size s is due p = t / s copies. The whole part is taken outright. The
-fractional parts are rounded by the pivotal method: two fractional documents are
+fractional parts are rounded by the pivotal method: two fractional units are
 paired and words are moved from one to the other, at random but without bias,
 until one of them holds a whole copy or none. A pair's words stay the same, so a
-source keeps its target up to the last fractional document.
-
-Pairs are folded within buckets of about BUCKET documents of one source; every
-bucket leaves at most one fractional document, and those meet in the next level
-of the tree, until each source has one bucket, where the last one is rounded and
-others make up for it. A level reads 1/BUCKET of the rows
-of the level before, and no bucket depends on the size of its source, so a source
-with a third of all rows is dealt over a third of all buckets.
-
-DataFrame functions only. Randomness comes from hashes of document ids, so reruns
-agree whatever the partitions.
+source keeps its target up to the last fractional document, and every document
+keeps its expected number of copies.
+
+The documents that hold more than 1 / LONG of their source's words, LONG of them at
+most, come first, the longest first: each is paired with all shorter documents of its
+source as one unit, whose fractions rise or fall together. So a long document is
+whole before the others are, and none is left to the end, where it would carry the
+source off its target.
+
+The others are paired one by one, folded within buckets of about BUCKET documents of
+one source; every bucket leaves at most one fractional document, and those meet in
+the next level of the tree, until each source has one bucket, where the last one is
+rounded by its fraction. A level reads 1/BUCKET of the rows of the level before, and
+no bucket depends on the size of its source, so a source with a third of all rows is
+dealt over a third of all buckets.
+
+DataFrame functions only. Randomness comes from hashes of document ids, and sums are
+of whole numbers, so reruns agree whatever the partitions.
 """
 
 from __future__ import annotations
@@ -26,9 +33,12 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import fresh, stored, uniform
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of a bucket, on average: enough that the words of the others settle a
-#: very long document, few enough for a fold that appends to an array.
+#: Documents of a bucket, on average: few enough for a fold that appends to an array.
 BUCKET = 512
+#: A document with more than this part of its source's words is paired with all shorter ones.
+LONG = 2048
+#: Equal rows that one row stands for while they are dealt out.
+RANGE = 4096
 #: Below this, a fraction is rounding noise of the division.
 EPS = 1e-9
 
@@ -93,26 +103,65 @@ def _fold(items: Column, seed: int, level: int) -> Column:
     return F.aggregate(items, start, pair)
 
 
-def _settle(fold: Column, seed: int) -> Column:
-    """The items of a source's last bucket, all whole: the fractional one is rounded at random, and where
-    that moves the source off its target, they are turned over, the longest first, while it brings it nearer.
+def _settle_long(items: Column, held: Column, room: Column, seed: int) -> Column:
+    """Pair each of the items (doc_id, size, frac), the longest first, with the pool of all that come after it.
+
+    held and room: words that all documents of the source hold in fractions, and that
+    they could take up. Pool fractions go from f to add + scale * f. Returns add,
+    scale, and out: the items with their fractions, which are whole unless the pool is
+    used up.
     """
+    item = "struct<doc_id:bigint,size:bigint,frac:double>"
+    start = F.struct(F.lit(0.0).alias("add"), F.lit(1.0).alias("scale"), held.alias("held"), room.alias("room"), F.array().cast(f"array<{item}>").alias("out"))
+
+    def pair(state: Column, e: Column) -> Column:
+        frac = state["add"] + state["scale"] * e["frac"]
+        # The pool without the item; rounding must not leave it less than nothing.
+        held = F.greatest(F.lit(0.0), state["held"] - frac * e["size"])
+        room = F.greatest(F.lit(0.0), state["room"] - (1 - frac) * e["size"])
+        up, down = F.least((1 - frac) * e["size"], held), F.least(frac * e["size"], room)
+        goes_up = uniform(F.lit(seed), F.lit(-2), e["doc_id"], e["size"]) * (up + down) < down
+        less, more = F.when(held > 0, up / held).otherwise(0.0), F.when(room > 0, down / room).otherwise(0.0)
+        whole = F.when(goes_up, frac + up / e["size"]).otherwise(frac - down / e["size"])
+        add = F.when(goes_up, state["add"] * (1 - less)).otherwise(state["add"] + (1 - state["add"]) * more)
+        scale = F.when(goes_up, state["scale"] * (1 - less)).otherwise(state["scale"] * (1 - more))
+        moved = F.when(goes_up, -up).otherwise(down)
+        own = F.struct(e["doc_id"].alias("doc_id"), e["size"].alias("size"), whole.alias("frac"))
+        return F.struct(add.alias("add"), scale.alias("scale"), (held + moved).alias("held"), (room - moved).alias("room"), F.concat(state["out"], F.array(own)).alias("out"))
+
+    return F.aggregate(items, start, pair)
+
+
+def _same_source(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Join on source, null included; right has a row a source."""
+    key = right.withColumnRenamed("source", "_source")
+    return left.join(key, left["source"].eqNullSafe(key["_source"]), how).drop("_source")
+
+
+def _last(fold: Column, seed: int) -> Column:
+    """The items of a source's last bucket, all whole: the fractional one is rounded at random by its fraction."""
     carry, out = fold["carry"], fold["out"]
     up = (uniform(F.lit(seed), F.lit(-1), carry["doc_id"]) < carry["frac"]).cast("double")
     last = F.struct(carry["doc_id"].alias("doc_id"), carry["size"].alias("size"), up.alias("frac"))
-    off = F.coalesce((up - carry["frac"]) * carry["size"], F.lit(0.0))
-    item = "struct<order:bigint,doc_id:bigint,size:bigint,frac:double>"
-    start = F.struct(off.alias("off"), F.array().cast(f"array<{item}>").alias("out"))
+    return F.when(carry.isNull(), out).otherwise(F.concat(out, F.array(last)))
+
 
-    def step(state: Column, e: Column) -> Column:
-        taken = e["frac"] > 0.5
-        turn = (F.when(taken, state["off"]).otherwise(-state["off"]) > 0) & (e["size"] < 2 * F.abs(state["off"]))
-        frac = F.when(turn != taken, 1.0).otherwise(0.0)
-        move = F.when(~turn, 0.0).when(taken, -e["size"]).otherwise(e["size"])
-        return F.struct((state["off"] + move).alias("off"), F.concat(state["out"], F.array(F.struct(e["order"].alias("order"), e["doc_id"].alias("doc_id"), e["size"].alias("size"), frac.alias("frac")))).alias("out"))
+def _equal_rows(groups: DataFrame) -> DataFrame:
+    """`rows` rows of each group, the first `full` of them with extra 1.
 
-    ordered = F.array_sort(F.transform(F.when(carry.isNull(), out).otherwise(F.concat(out, F.array(last))), lambda x: F.struct((-x["size"]).alias("order"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["frac"].alias("frac"))))
-    return F.transform(F.aggregate(ordered, start, step)["out"], lambda x: F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["frac"].alias("frac")))
+    Large groups are dealt as ranges of RANGE rows before they are written out, so
+    neither an array nor a task holds all rows of one.
+    """
+    cols = [c for c in groups.columns if c not in ("full", "rows")]
+    ranged = groups.where("rows > 0").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / RANGE))))
+
+    def written(some: DataFrame) -> DataFrame:
+        start = F.col("from") * RANGE
+        each = some.withColumn("i", F.explode(F.sequence(start, F.least(start + RANGE, F.col("rows")) - 1)))
+        return each.select(*cols, (F.col("i") < F.col("full")).cast("int").alias("extra"))
+
+    large = ranged.where(F.col("rows") > RANGE).repartition("doc_id", "from")
+    return written(ranged.where(F.col("rows") <= RANGE)).unionByName(written(large))
 
 
 def mix(documents: DataFrame, *, text: str = "text", seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -131,8 +180,7 @@ def mix(documents: DataFrame, *, text: str = "text", seed: int = 7, weights: tup
     targets = stored(source_targets(groups.select("source", (F.col("size") * F.col("rows")).alias("size")), weights=weights, most=most), "targets")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(due + EPS)
-    key = targets.withColumnRenamed("source", "_source")
-    all_due = groups.join(key, groups["source"].eqNullSafe(key["_source"]), "left").drop("_source")
+    all_due = _same_source(groups, targets)
     all_due = all_due.withColumn("base", base.cast("int")).withColumn("frac", F.greatest(F.lit(0.0), due - base))
     # Of equal rows, whole shares go to some of them and the rest of the mass to one.
     mass = F.col("rows") * F.col("frac")
@@ -141,18 +189,32 @@ def mix(documents: DataFrame, *, text: str = "text", seed: int = 7, weights: tup
     all_due = all_due.withColumn("rest", F.when(F.col("rest") <= EPS, 0.0).otherwise(F.col("rest")))
     all_due = all_due.withColumn("one", (F.col("rest") > 0).cast("long"))
     cols = ["doc_id", "source", "size", "source_size", "target", "base"]
-    settled = all_due.select(*cols, F.explode(F.concat(F.array_repeat(F.lit(1), F.col("full").cast("int")), F.array_repeat(F.lit(0), (F.col("rows") - F.col("full") - F.col("one")).cast("int")))).alias("extra"))
-
-    parts = [settled]
-    level, items = 0, all_due.where("one = 1").select(*cols, "n", F.col("rest").alias("frac"))
+    parts = [_equal_rows(all_due.select(*cols, "full", (F.col("rows") - F.col("one")).alias("rows")))]
+
+    items = all_due.where("one = 1").select(*cols, "n", F.col("rest").alias("frac"))
+    sum_of = lambda x: F.sum(F.round(x * 1e6).cast("long")) / 1e6  # noqa: E731  whole numbers, so the order of rows is no matter
+    pool = stored(items.groupBy("source").agg(F.sum("size").alias("words"), sum_of(F.col("frac") * F.col("size")).alias("held"), sum_of((1 - F.col("frac")) * F.col("size")).alias("room")), "pool")
+    sized = _same_source(items, pool)
+    is_long = F.col("size") * LONG > F.col("words")
+    by_size = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "doc_id", "size", "frac")))
+    fixed = ["source", "source_size", "target", "base", "n"]
+    longest = sized.where(is_long).groupBy(*fixed, "held", "room").agg(by_size.alias("items"))  # LONG at most
+    longest = stored(longest.select(*fixed, _settle_long(F.col("items"), F.col("held"), F.col("room"), seed).alias("fold")), "long")
+    moved = longest.select("source", F.col("fold.add").alias("add"), F.col("fold.scale").alias("scale"))
+    short = _same_source(sized.where(~is_long), moved).withColumn("frac", F.coalesce("add", F.lit(0.0)) + F.coalesce("scale", F.lit(1.0)) * F.col("frac"))
+    first = longest.select(*fixed, F.explode("fold.out").alias("x")).select("x.doc_id", "source", "x.size", "source_size", "target", "base", "n", "x.frac")
+    items = stored(short.select(*cols, "n", "frac").unionByName(first), "items")
+    is_whole = (F.col("frac") <= EPS) | (F.col("frac") >= 1 - EPS)
+    parts.append(items.where(is_whole).select(*cols, (F.col("frac") > 0.5).cast("int").alias("extra")))
+    items, level = items.where(~is_whole), 0
     widest = targets.agg(F.max("n")).first()[0] or 0
     buckets = F.ceil(F.col("n") / BUCKET)
     while widest:
         widest = 0 if widest <= BUCKET else -(-widest // BUCKET)
         spread = F.pmod(F.xxhash64(F.lit(seed + level), F.col("doc_id"), F.col("size")), F.greatest(F.lit(1).cast("long"), buckets))
-        grouped = items.groupBy("source", "n", "source_size", "target", "base", spread.alias("bucket")).agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "doc_id", "size", "frac"))).alias("items"))
+        grouped = items.groupBy(*fixed, spread.alias("bucket")).agg(by_size.alias("items"))
         folded = stored(grouped.withColumn("fold", _fold(F.col("items"), seed, level)).drop("items"), f"level{level}")
-        whole = F.when(buckets <= 1, _settle(F.col("fold"), seed)).otherwise(F.col("fold.out"))
+        whole = F.when(buckets <= 1, _last(F.col("fold"), seed)).otherwise(F.col("fold.out"))
         parts.append(folded.select("*", F.explode(whole).alias("x")).select("x.doc_id", "source", "x.size", "source_size", "target", "base", (F.col("x.frac") > 0.5).cast("int").alias("extra")))
         left = folded.where((buckets > 1) & F.col("fold.carry").isNotNull()).select("fold.carry.doc_id", "source", "fold.carry.size", "source_size", "target", "base", "n", "fold.carry.frac")
         items, buckets, level = left, F.ceil(buckets / BUCKET), level + 1

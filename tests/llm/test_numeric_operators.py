@@ -31,9 +31,11 @@ def targets(size, weights=(1, 2, 3), most=3):
         capped |= over
 
 
-@pytest.mark.parametrize("bucket", [512, 8])
-def test_mix(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket,long", [(512, 2048), (8, 2048), (8, 1), (64, 20)])
+def test_mix(spark, monkeypatch, bucket, long):
     monkeypatch.setattr(mixing, "BUCKET", bucket)
+    monkeypatch.setattr(mixing, "LONG", long)
+    monkeypatch.setattr(mixing, "RANGE", 64)
     rows = mix_rows(1500, 1) + [(2000, None, "tiny"), (2001, "one", "tiny"), (2002, " \t ", None), (3, "w " * 7, "a"), (None, "w w", "a")] + [(5000, "w " * 11, "a")] * 300
     df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], DOCS).repartition(5)
     got = [tuple(r) for r in mixing.mix(df).collect()]
@@ -67,6 +69,31 @@ def test_rounding_is_unbiased(spark):
     assert np.mean([abs(total[i] - due[i]) for i in due]) < 0.25
 
 
+@pytest.mark.parametrize("bucket,long", [(512, 2048), (4, 1), (4, 6)])
+def test_every_document_keeps_its_expected_copies(spark, monkeypatch, bucket, long):
+    """Sources of documents of the same sizes; a place's mean over 400 sources has a deviation of 0.024 at most."""
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    monkeypatch.setattr(mixing, "LONG", long)
+    sizes = [1, 2, 3, 5, 8, 40, 90, 200, 3, 3]
+    rows = [(s * 100 + i, "w " * n, f"s{s:04d}") for s in range(800) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, weights=(1, 2)).select("doc_id", "copies", "target", "source_size").collect()
+    assert len(got) == len(rows)
+    for weight in (0, 1):
+        total = Counter()
+        for r in got:
+            if (r["doc_id"] // 100) % 2 == weight:
+                due = r["target"] / r["source_size"]
+                total[r["doc_id"] % 100] += r["copies"] / 400
+        assert all(abs(total[i] - due) < 0.1 for i in range(len(sizes))), (due, total)
+
+
+def test_a_long_document_is_not_left_to_the_end(spark):
+    rows = [(s * 1000 + i, "w " * (2000 if i == 0 else i % 30 + 1), f"s{s:02d}") for s in range(20) for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert len(got) == 20 and all(abs(r["sum(taken)"] - r["max(target)"]) <= 30 for r in got)
+
+
 def search_case(n, seed=0):
     rng = np.random.default_rng(seed)
     return (rng.normal(size=(12, 16))[rng.integers(0, 12, n)] + rng.normal(size=(n, 16))) * rng.uniform(0.5, 2, (n, 1))
