@@ -29,8 +29,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is cut before byte pairs are merged (a fixed value of this vocabulary).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CONTROLS = ("<turn>", "<says>", "</turn>")
-#: Tokens of a part, and characters that are encoded at once.
-PART, CHARS = 1 << 16, 1 << 13
+#: Tokens of a part.
+PART = 1 << 16
 
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROLS))
 
@@ -55,7 +55,7 @@ class Codec:
         self.controls = dict(zip((self.turn, self.says, self.end), CONTROLS, strict=True))
 
     def encode(self, text: str) -> list[int]:
-        return [x for i in range(0, len(text), CHARS) for x in self.encoding.encode_ordinary(text[i : i + CHARS])]
+        return self.encoding.encode_ordinary(text)
 
     def decode(self, ids: list[int]) -> str:
         return self.encoding.decode_bytes(ids).decode()
@@ -85,7 +85,9 @@ def format_conversations(rows: DataFrame, tokenizer, *, learn_from: str = "assis
     rows(conv_id, turn, role, text), in any order; turns are ordered by turn (null
     first), then role and text, so repeated turns have a fixed order. Null texts and
     roles are empty. The mask is 1 on the text of `learn_from` turns. A null conv_id is
-    a conversation. Parts of a conversation lie in order in one partition.
+    a conversation. Parts of a conversation lie in order in one partition. Texts are
+    encoded whole, however long. No rows give no conversations; other columns are not
+    read, whatever their names.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

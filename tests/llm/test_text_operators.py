@@ -116,6 +116,16 @@ def test_parts_of_long_conversations(spark, monkeypatch):
     assert len(got) == 1 and got[0]["n_turns"] == 40
 
 
+def test_texts_are_encoded_whole(spark):
+    text = "word by word, " * 3000 + "x" * 20000 + " é漢字" * 3000
+    tokenizer = chat.load_tokenizer(spark)
+    df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    codec = chat.Codec(tokenizer.value)
+    want = [codec.turn, *codec.encoding.encode_ordinary("assistant"), codec.says, *codec.encoding.encode_ordinary(text), codec.end]
+    (row,) = chat.format_conversations(df, tokenizer).collect()
+    assert list(row["ids"]) == want and sum(row["loss"]) == len(codec.encoding.encode_ordinary(text))
+
+
 def test_escape_is_reversible():
     rng = random.Random(3)
     for _ in range(2000):
