@@ -24,11 +24,17 @@ FORMULA_DELIMITER = r"(?<!\\)\$\$(?!\$)"
 TABLE_SEPARATOR = r"(?Ud)^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*$"
 WORD = r"(?U)[^\W_]+"
 IMAGE = r"!\[[^\]\n]*\]\((?:<([^>\n]+)>|([^)\n]+))\)"
+HTML_IMAGE = r"""(?is)<img\b[^>]*\bsrc\s*=\s*['"]([^'"]+)['"][^>]*>"""
+ANY_FORMULA = r"(?s)\$\$|(?<!\\)\$(?!\$).+?(?<!\\)\$(?!\$)"
+ASSET_MARKER = r"<!-- srcmap:asset=(\S+) page=[1-9][0-9]* -->"
 VECTOR_CAPTION = r"(?Udiu)^(?:Figure|Fig\.)\s*\d+\s*:"
 RASTER_CAPTION = r"(?Udiu)^(?:Figure|Fig\.|Abbildung)\s+\d+\b.+"
 FORBIDDEN_OUTPUT = r"(?i)file://|<\s*/?\s*(?:html|head|body|script|iframe|meta)\b|<!doctype|<\?"
 LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
+LINKS_TITLE = "**Native PDF links**"
+LINKS_TITLE_PATTERN = r"\*\*Native PDF links\*\*"
+
 NAMED_HEADINGS = ("abstract", "references", "acknowledgements")
 
 #: Warning codes that keep a document from being indexed as it is.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill import constants as C
 from pagemill.functions import text as X
+from pagemill.operators import lifecycle as L
 
 PAGE = rf"<!-- {C.NAMESPACE}:page=(\d+) -->"
 TABLE_MARKER = rf"<!-- {C.NAMESPACE}:table=[^\s>]+ page=\d+ -->"
@@ -36,28 +37,35 @@ def structure_score(markdown: DataFrame) -> DataFrame:
     return out.withColumn("structure_score", F.col("headings") + 3 * F.col("tables") + 2 * F.col("formulas") - F.col("glyphs"))
 
 
+#: Fixed values of the choice's record.
+NO_CLOUD, MORE_STRUCTURE, LOCAL_IS_ENOUGH = "cloud_derivative_not_available", "validated_cloud_has_more_structure", "local_structure_is_equal_or_better"
+
+
 def choose(local: DataFrame, cloud: DataFrame) -> DataFrame:
     """doc_id, local_score, cloud_score, selected, reason: the cloud derivative only where its score is higher."""
     a = structure_score(local).select("doc_id", F.col("structure_score").alias("local_score"))
     b = structure_score(cloud).select("doc_id", F.col("structure_score").alias("cloud_score"))
     more = F.col("cloud_score") > F.col("local_score")
-    reason = F.when(F.col("cloud_score").isNull(), "cloud_derivative_not_available").when(more, "validated_cloud_has_more_structure").otherwise("local_structure_is_equal_or_better")
+    reason = F.when(F.col("cloud_score").isNull(), NO_CLOUD).when(more, MORE_STRUCTURE).otherwise(LOCAL_IS_ENOUGH)
     return a.join(b, "doc_id", "left").withColumn("selected", F.when(more, "cloud").otherwise("local")).withColumn("reason", reason)
 
 
+#: A list of links as links.render_links() writes it.
+LINK_LIST = rf"<!-- {C.NAMESPACE}:native-pdf-links page=[1-9][0-9]* -->(?U)\s*{C.LINKS_TITLE_PATTERN}(?:\s*\n- \[[^\n]+\]\(<[^\n]+>\))*"
+
+
 def page_profiles(pages: DataFrame) -> DataFrame:
     """doc_id, page_number, word_count, has_table, has_formula of pages(content).
 
-    Comments, link lists, headings, callouts and images are no content.
+    Comments, link lists, headings, callouts, table rules and lines that are an image
+    are no content. A formula is between single or double dollar signs.
     """
-    text = F.regexp_replace("content", rf"(?s)<!-- {C.NAMESPACE}:native-pdf-links page=\d+ -->.*?(?=<!-- |\z)", "")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    lines = X.split_lines(text)
+    text = F.regexp_replace(F.regexp_replace("content", LINK_LIST, ""), r"(?s)<!--.*?-->", "")
     is_rule = lambda x: x.rlike(C.TABLE_SEPARATOR)
-    skipped = lambda x: x.rlike(r"(?U)^\s*#{1,6}\s") | x.rlike(r"^\s*>") | x.rlike(r"^\s*!\[")
-    out = pages.withColumn("_lines", F.filter(lines, lambda x: ~skipped(x)))
+    skipped = lambda x: x.rlike(r"(?U)^\s{0,3}#{1,6}\s") | x.rlike(r"(?U)^\s*>") | x.rlike(r"(?Ud)^\s*!\[[^\]]*\]\([^\n]*\)\s*$")
+    out = pages.withColumn("_lines", F.filter(X.split_lines(text), lambda x: ~skipped(x)))
     body = F.array_join(F.filter("_lines", lambda x: ~is_rule(x)), "\n")
-    return out.select("doc_id", "page_number", F.regexp_count(body, F.lit(C.WORD)).alias("word_count"), F.exists("_lines", is_rule).alias("has_table"), F.contains(body, F.lit("$$")).alias("has_formula"))
+    return out.select("doc_id", "page_number", F.regexp_count(body, F.lit(C.WORD)).alias("word_count"), F.exists("_lines", is_rule).alias("has_table"), body.rlike(C.ANY_FORMULA).alias("has_formula"))
 
 
 def completeness(local: DataFrame, cloud: DataFrame) -> DataFrame:
@@ -85,6 +93,16 @@ def marker_code(markdown: Column, first: Column, count: Column) -> Column:
     )
 
 
+def response_code(response: Column, first: Column, count: Column) -> Column:
+    """The first rule that a model's response (JSON) breaks, or null: its status, its text, and then marker_code()."""
+    parsed = F.from_json(response, "status string, incomplete_details string")
+    text = L.output_text_or_null(response)
+    return (
+        F.when(parsed["status"] == "incomplete", "CLOUD_RESPONSE_TRUNCATED").when(~F.coalesce(parsed["status"] == "completed", F.lit(False)), "CLOUD_RESPONSE_NOT_COMPLETED")
+        .when(parsed["incomplete_details"].isNotNull(), "CLOUD_RESPONSE_INCOMPLETE").when(text.isNull(), "CLOUD_MARKDOWN_MISSING").otherwise(marker_code(text, first, count))
+    )
+
+
 def batch_profiles(pages: DataFrame) -> DataFrame:
     """doc_id, page_number, chapter_start, dense for pages(content)."""
     page = F.col("page_number").cast("string")
@@ -149,10 +167,22 @@ def insert_at_page(pages: DataFrame, extra: DataFrame, *, at_end: bool) -> DataF
 
 
 def image_references(markdown: DataFrame) -> DataFrame:
-    """doc_id, target of every Markdown image."""
+    """doc_id, target of every Markdown and HTML image."""
     found = F.regexp_extract_all("markdown", F.lit(C.IMAGE), F.lit(0))
     one = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, C.IMAGE, 1), F.lit("")), F.regexp_extract(x, C.IMAGE, 2))
-    return markdown.select("doc_id", F.explode(F.transform(found, one)).alias("target"))
+    html = F.regexp_extract_all("markdown", F.lit(C.HTML_IMAGE), F.lit(1))
+    return markdown.select("doc_id", F.explode(F.concat(F.transform(found, one), html)).alias("target"))
+
+
+def with_images(markdown: DataFrame) -> DataFrame:
+    """doc_id, code of raw model output that refers to an image, which none may."""
+    return image_references(markdown).select("doc_id", F.lit("CLOUD_UNAUTHORIZED_IMAGE_REFERENCE").alias("code")).distinct()
+
+
+def dangling_assets(markdown: DataFrame, assets: DataFrame) -> DataFrame:
+    """doc_id, asset_id of asset markers in the text whose asset isn't among assets(doc_id, asset_id)."""
+    used = markdown.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("markdown", F.lit(C.ASSET_MARKER), F.lit(1)))).alias("asset_id"))
+    return used.join(assets.select("doc_id", "asset_id"), ["doc_id", "asset_id"], "left_anti")
 
 
 def unauthorised_images(markdown: DataFrame, assets: DataFrame) -> DataFrame:
@@ -162,7 +192,8 @@ def unauthorised_images(markdown: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def occurs_once(markdown: Column, needle: Column) -> Column:
-    return F.size(F.split(markdown, F.concat(F.lit(r"\Q"), needle, F.lit(r"\E")), F.lit(-1))) == 2
+    """Whether the text holds the needle exactly once; an empty needle never."""
+    return X.occurrences(markdown, needle) == 1
 
 
 def orders_broken(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ def image_kind(images: DataFrame) -> DataFrame:
     jpeg = lambda c: F.substring(F.col(c), 1, 3) == F.lit(b"\xff\xd8\xff")
     channels = F.when(F.col("color_space") == "DeviceRGB", 3).when(F.col("color_space").isin("DeviceGray", "Indexed"), 1)
     flate = (F.col("filter") == "FlateDecode") & (F.col("bits") == 8) & (F.octet_length("decoded") == area * channels)
+    if "palette" in images.columns:  # whole colours, 256 at most
+        sound = F.octet_length("palette").between(3, 768) & (F.octet_length("palette") % 3 == 0)
+        flate = flate & ((F.col("color_space") != "Indexed") | F.coalesce(sound, F.lit(False)))
+    else:
+        flate = flate & (F.col("color_space") != "Indexed")
     kind = F.when(~F.coalesce(area >= C.MIN_IMAGE_AREA, F.lit(True)), "decorative").when(jpeg("raw") | jpeg("decoded"), "jpg").when(F.coalesce(flate, F.lit(False)), "png").otherwise("unsupported")
     return images.withColumn("figure_number", number).withColumn("kind", kind)
 
@@ -46,6 +52,27 @@ def png(width: pd.Series, height: pd.Series, channels: pd.Series, pixels: pd.Ser
     return pd.Series([one(int(w), int(h), int(c), bytes(p)) for w, h, c, p in zip(width, height, channels, pixels, strict=True)])
 
 
+@F.pandas_udf(T.BinaryType())
+def rgb_of_palette(pixels: pd.Series, palette: pd.Series) -> pd.Series:
+    """8-bit indices as RGB, by a palette of three bytes a colour; indices past its end are black."""
+
+    def one(raw: bytes | None, colours: bytes | None) -> bytes | None:
+        if raw is None or colours is None:
+            return None
+        table = np.frombuffer(bytes(colours)[:768].ljust(768, b"\0"), np.uint8).reshape(256, 3)
+        return table[np.frombuffer(bytes(raw), np.uint8)].tobytes()
+
+    return pd.Series([one(r, c) for r, c in zip(pixels, palette, strict=True)])
+
+
+def png_files(images: DataFrame) -> DataFrame:
+    """images of kind png with file: grey and RGB pixels as they are, indexed ones through their palette."""
+    indexed = F.col("color_space") == "Indexed"
+    pixels = F.coalesce(rgb_of_palette(F.when(indexed, F.col("decoded")), F.when(indexed, F.col("palette"))), F.col("decoded"))
+    channels = F.when(F.col("color_space") == "DeviceGray", 1).otherwise(3)
+    return images.where("kind = 'png'").withColumn("file", png("width", "height", channels, pixels))
+
+
 def boxes(primitives: DataFrame) -> DataFrame:
     """Finite boxes with ordered edges; a side without extent gets 0.1."""
     sides = ("x0", "top", "x1", "bottom")

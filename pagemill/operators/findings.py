@@ -12,13 +12,10 @@ from pagemill.functions import text as X
 def normalize(blocks: DataFrame) -> DataFrame:
     """Adds normalized, transformations and codes to blocks(text, ...).
 
-    Only texts that composition may change go through Python; the rest stays in the JVM.
+    Only texts that composition may change are sent to Python, null for all others.
     """
-    lf = X.line_endings(F.col("text"))
-    rows = blocks.withColumn("_lf", lf)
-    plain = rows.where(~F.coalesce(X.needs_nfc(F.col("_lf")), F.lit(False))).withColumn("normalized", F.col("_lf"))
-    other = rows.where(X.needs_nfc(F.col("_lf"))).withColumn("normalized", X.nfc("_lf"))
-    out = plain.unionByName(other)
+    rows = blocks.withColumn("_lf", X.line_endings(F.col("text")))
+    out = rows.withColumn("normalized", F.coalesce(X.nfc(F.when(X.needs_nfc(F.col("_lf")), F.col("_lf"))), F.col("_lf")))
     steps = F.filter(F.array(F.when(F.contains("text", F.lit("\r")), "line_endings_to_lf"), F.when(F.col("normalized") != F.col("_lf"), "unicode_nfc")), lambda x: x.isNotNull())
     return out.withColumn("transformations", steps).withColumn("codes", text_codes(F.col("normalized"))).drop("_lf")
 
@@ -89,5 +86,5 @@ def vision_pages(warnings: DataFrame, pages: DataFrame, mode: str) -> DataFrame:
 def reader_warnings(warnings: DataFrame, glyph_pages: DataFrame) -> DataFrame:
     """Warnings that readers of a derivative see; glyph warnings only where glyphs are left."""
     shown = warnings.where(F.col("page_number").isNotNull() & F.col("severity").isin("warning", "error") & F.col("code").isin(*C.READER_CODES))
-    glyph = F.col("code") == "UNREADABLE_PDF_GLYPHS"
-    return shown.where(~glyph).unionByName(shown.where(glyph).join(glyph_pages, ["doc_id", "page_number"], "left_semi"))
+    left = glyph_pages.select("doc_id", "page_number").distinct().withColumn("_left", F.lit(True))
+    return shown.join(left, ["doc_id", "page_number"], "left").where((F.col("code") != "UNREADABLE_PDF_GLYPHS") | F.col("_left")).drop("_left")

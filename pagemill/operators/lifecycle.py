@@ -90,11 +90,16 @@ def manifest(documents: DataFrame) -> DataFrame:
 
 
 def output_text(response: Column) -> Column:
-    """The text of a model response: output_text, or the text parts of its output."""
+    """The text of a model response: output_text, or the text parts of its output; empty without any."""
+    return F.coalesce(output_text_or_null(response), F.lit(""))
+
+
+def output_text_or_null(response: Column) -> Column:
     schema = "struct<output_text:string,output:array<struct<content:array<struct<type:string,text:string>>>>>"
     parsed = F.from_json(response, schema)
     parts = F.filter(F.flatten(F.transform(parsed["output"], lambda o: F.coalesce(o["content"], F.array().cast("array<struct<type:string,text:string>>")))), lambda c: c["type"] == "output_text")
-    return F.coalesce(parsed["output_text"], F.array_join(F.transform(parts, lambda c: c["text"]), ""))
+    texts = F.filter(F.transform(parts, lambda c: c["text"]), lambda t: t.isNotNull())
+    return F.coalesce(parsed["output_text"], F.when(F.size(texts) > 0, F.array_join(texts, "")))
 
 
 def exit_code(has_error: Column, warnings: Column) -> Column:

@@ -21,9 +21,9 @@ def is_link(subtype: Column, uri: Column) -> Column:
 
 @F.pandas_udf(T.BooleanType())
 def _special(host: pd.Series) -> pd.Series:
-    def one(x: str) -> bool:
+    def one(x: str | None) -> bool:
         try:
-            a = ipaddress.ip_address(x)
+            a = ipaddress.ip_address(x or "")
         except ValueError:
             return False
         return a.is_private or a.is_loopback or a.is_link_local or a.is_reserved or a.is_unspecified or a.is_multicast
@@ -32,9 +32,10 @@ def _special(host: pd.Series) -> pd.Series:
 
 
 def target_kind(links: DataFrame, url: str = "uri") -> DataFrame:
-    """Adds target: unsafe (no clean https address), local (this machine or a private network) or ok.
+    """Adds target: unsafe (no clean https address), local (this machine or a private network), invalid or ok.
 
-    Only numeric hosts go through Python.
+    invalid: links come with left, bottom, right and top, and these are no rectangle.
+    Python sees numeric hosts only, and null for the others.
     """
     u = F.col(url)
     net = F.regexp_extract(u, _NET, 1)
@@ -42,10 +43,20 @@ def target_kind(links: DataFrame, url: str = "uri") -> DataFrame:
     fine = u.isNotNull() & ~u.rlike(r"(?U)[\s\x00-\x1f]") & u.rlike(_NET) & (net != "") & ~F.contains(net, F.lit("@")) & ((port == "") | (port.rlike(r"^[0-9]{1,5}$") & (F.coalesce(F.try_to_number(port, F.lit("99999")), F.lit(0)) <= 65535)))
     host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(net, r":[^:\]]*$", ""), r"^\[|\]$", ""), r"\.+$", ""))
     rows = links.withColumn("_host", F.when(F.coalesce(fine, F.lit(False)) & (host != ""), host))
-    numeric = F.coalesce(F.col("_host").rlike(r"^[0-9.]+$|:"), F.lit(False))
-    names = rows.where(~numeric).withColumn("target", F.when(F.col("_host").isNull(), "unsafe").when(F.col("_host").rlike(r"(^|\.)localhost$"), "local").otherwise("ok"))
-    numbers = rows.where(numeric).withColumn("target", F.when(_special("_host"), "local").otherwise("ok"))
-    return names.unionByName(numbers).drop("_host")
+    known = F.col("_host")
+    numeric = F.coalesce(known.rlike(r"^[0-9.]+$|:"), F.lit(False))
+    private = _special(F.when(numeric, known))  # null for every other host
+    local = F.when(numeric, private).otherwise(known.rlike(r"(^|\.)localhost$"))
+    out = rows.withColumn("target", F.when(known.isNull(), "unsafe").when(local, "local").otherwise("ok")).drop("_host")
+    sides = [c for c in ("left", "bottom", "right", "top") if c in links.columns]
+    if len(sides) < 4:
+        return out
+    finite = F.lit(True)
+    for c in sides:
+        x = F.col(c).cast("double")
+        finite = finite & x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    sound = F.coalesce(finite & (F.col("left") < F.col("right")) & (F.col("bottom") < F.col("top")), F.lit(False))
+    return out.withColumn("target", F.when((F.col("target") == "ok") & ~sound, "invalid").otherwise(F.col("target")))
 
 
 CODES = {"unsafe": "NATIVE_PDF_LINK_UNSAFE_URL", "local": "NATIVE_PDF_LINK_LOCAL_TARGET", "invalid": "NATIVE_PDF_LINK_INVALID_ANNOTATION"}
@@ -97,6 +108,6 @@ def titles(links: DataFrame, visible: DataFrame, geometry: DataFrame) -> DataFra
 def render_links(links: DataFrame, neutral: str = "Link") -> DataFrame:
     """doc_id, page_number, markdown: the link list of each page."""
     label = X.escape_label(F.coalesce("visible_title", F.lit(neutral)))
-    line = F.concat(F.lit("- ["), label, F.lit("]("), F.col("uri"), F.lit(")"))
+    line = F.concat(F.lit("- ["), label, F.lit("](<"), F.col("uri"), F.lit(">)"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("link_idx", line.alias("line")))), lambda x: x["line"]), "\n")
-    return links.groupBy("doc_id", "page_number").agg(body.alias("body")).select("doc_id", "page_number", F.concat(F.lit(f"<!-- {C.NAMESPACE}:native-pdf-links page="), F.col("page_number").cast("string"), F.lit(" -->\n"), "body").alias("markdown"))
+    return links.groupBy("doc_id", "page_number").agg(body.alias("body")).select("doc_id", "page_number", F.concat(F.lit(f"<!-- {C.NAMESPACE}:native-pdf-links page="), F.col("page_number").cast("string"), F.lit(f" -->\n{C.LINKS_TITLE}\n"), "body").alias("markdown"))

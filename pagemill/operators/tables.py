@@ -14,10 +14,10 @@ def normalize_tables(raw: DataFrame) -> DataFrame:
     Accepted: two rows or more, all with as many cells as the first, two or more, none
     null, empty or with an unreadable glyph.
     """
-    clean = F.transform("cells", lambda row: F.transform(row, X.normalize_cell))
-    good = lambda row: (F.size(row) == F.size(F.element_at("cells", 1))) & (F.size(row) >= 2) & F.forall(row, lambda c: c.isNotNull() & ~F.contains(F.coalesce(c, F.lit("")), F.lit("(cid:")) & (F.coalesce(X.normalize_cell(c), F.lit("")) != ""))
-    ok = (F.size("cells") >= 2) & F.forall("cells", good)
-    return raw.withColumn("accepted", F.coalesce(ok, F.lit(False))).withColumn("cells", F.when(F.col("accepted"), clean))
+    rows = raw.withColumn("_clean", F.transform("cells", lambda row: F.transform(row, X.normalize_cell)))
+    good = lambda row: (F.size(row) == F.size(F.element_at("_clean", 1))) & (F.size(row) >= 2) & F.forall(row, lambda c: (F.coalesce(c, F.lit("")) != "") & ~F.contains(F.coalesce(c, F.lit("")), F.lit("(cid:")))
+    ok = (F.size("_clean") >= 2) & F.forall("_clean", good)
+    return rows.withColumn("accepted", F.coalesce(ok, F.lit(False))).withColumn("cells", F.when(F.col("accepted"), F.col("_clean"))).drop("_clean")
 
 
 def rejected_counts(tables: DataFrame) -> DataFrame:

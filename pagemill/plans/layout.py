@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.operators import extract as E
 from pagemill.operators import figures as G
 from pagemill.operators import layout as Y
 from pagemill.operators import ocr as O
@@ -12,29 +13,29 @@ from pagemill.operators import tables as T
 from pagemill.plans.inputs import table
 
 PAGE = ["doc_id", "page_number"]
-MOST = 40  # words of a synthetic line; the rest of a text line goes on in the next ones
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of documents as if set in 6 by 10 units: eight to a line, 50 lines a page, tops jittered by 0.3.
+    """All words of documents, whole, set in boxes of 24 by 10 units: eight to a line, 50 lines a page, tops jittered by 0.3.
 
-    Every third line jumps over the middle of the page after its fourth word.
+    Every third line jumps over the middle of the page after its fourth word; five lines
+    make a paragraph, 18 units from the next.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("i", "text"))
     line, at = F.floor(F.col("i") / 8), F.col("i") % 8
     page, row = F.floor(line / 50), line % 50
     left = at * 30.0 + F.when((row % 3 != 2) & (at >= 4), 320.0).otherwise(F.when(row % 3 == 2, at * 30.0).otherwise(0.0))
-    top = row * 14.0 + (F.col("i") % 2) * 0.3 + 60
+    top = row * 12.0 + F.floor(row / 5) * 16.0 + (F.col("i") % 2) * 0.3 + 60
     size = F.when(row == 0, 18.0).when(row == 20, 13.5).otherwise(10.0)
-    return d.select("doc_id", (page + 1).cast("int").alias("page_number"), F.col("i").alias("word_idx"), F.left("text", F.lit(4)).alias("text"), left.alias("x0"), (left + 24).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), size.alias("font_size"))
+    return d.select("doc_id", (page + 1).cast("int").alias("page_number"), F.col("i").alias("word_idx"), "text", left.alias("x0"), (left + 24).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), size.alias("font_size"))
 
 
 def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark, sf_dir).select(*PAGE).distinct().withColumn("width", F.lit(600.0)).withColumn("height", F.lit(800.0))
+    return _words(spark, sf_dir).select(*PAGE).distinct().withColumn("width", F.lit(600.0)).withColumn("height", F.lit(900.0))
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _geometry(spark, sf_dir).where("doc_id % 3 = 0").select(*PAGE, F.lit(0.0).alias("x0"), F.lit(200.0).alias("top"), F.lit(600.0).alias("x1"), F.lit(260.0).alias("bottom"))
+    return _geometry(spark, sf_dir).select(*PAGE, F.lit(0.0).alias("x0"), F.lit(200.0).alias("top"), F.lit(600.0).alias("x1"), F.lit(260.0).alias("bottom"))
 
 
 def _lined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def heading_levels_typographic(spark, sf_dir):
 
 
 def paragraph_gap_breaks(spark, sf_dir):
-    return Y.paragraph_gaps(Y.lines(_lined(spark, sf_dir)).where("line_idx % 5 <> 3")).where("gap_before").select("doc_id", "page_number", "line_idx")
+    return Y.paragraph_gaps(Y.lines(_lined(spark, sf_dir))).where("gap_before").select("doc_id", "page_number", "line_idx")
 
 
 def gutter_split(spark, sf_dir):
@@ -70,8 +71,17 @@ def table_region_semijoin(spark, sf_dir):
 
 
 def bullet_nearest_line(spark, sf_dir):
-    shapes = _geometry(spark, sf_dir).select(*PAGE, F.explode(F.sequence(F.lit(0), F.lit(9))).alias("prim_idx")).select(*PAGE, "prim_idx", F.lit(-9.0).alias("x0"), F.lit(-5.0).alias("x1"), (F.col("prim_idx") * 37.0 + 62).alias("top"), (F.col("prim_idx") * 37.0 + 66).alias("bottom"), (F.col("prim_idx") % 4 != 3).alias("fill"))
-    return Y.graphic_bullets(shapes, Y.lines(_lined(spark, sf_dir)))
+    return Y.graphic_bullets(_shapes(spark, sf_dir), Y.lines(_lined(spark, sf_dir)))
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _geometry(spark, sf_dir).select(*PAGE, F.explode(F.sequence(F.lit(0), F.lit(9))).alias("prim_idx")).select(*PAGE, "prim_idx", F.lit(-9.0).alias("x0"), F.lit(-5.0).alias("x1"), (F.col("prim_idx") * 37.0 + 62).alias("top"), (F.col("prim_idx") * 37.0 + 66).alias("bottom"), (F.col("prim_idx") % 4 != 3).alias("fill"))
+
+
+def page_extraction(spark, sf_dir):
+    """Positioned words to blocks, all steps together."""
+    b = E.page_blocks(_words(spark, sf_dir), _geometry(spark, sf_dir), _boxes(spark, sf_dir), _shapes(spark, sf_dir))
+    return b.select(*PAGE, "block_idx", "kind", "heading_level", "ordered", F.sha2("text", 256).alias("sha256"))
 
 
 def caption_segments(spark, sf_dir):
@@ -111,8 +121,8 @@ def image_filter(spark, sf_dir):
 
 
 def _drawings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Primitives, captions and geometry of one page a nation: two groups of strokes, captions below."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit(1).alias("page_number"))
+    """Primitives, captions and geometry of every page: two groups of strokes, captions below."""
+    n = _geometry(spark, sf_dir).select(*PAGE)
     prim = n.select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("prim_idx"))
     right = F.col("prim_idx") >= 5
     i = (F.col("prim_idx") % 5).cast("double")
@@ -149,11 +159,6 @@ def _tsv_rows(d: DataFrame) -> DataFrame:
 
 
 def _tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 60 words of each document, which is what the SQL twins have."""
-    return _tsv_rows(table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, 60).alias("w")))
-
-
-def _tsv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of each document, 60 a page."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("i", "t"))
     d = d.groupBy("doc_id", (F.floor(F.col("i") / 60) + 1).cast("int").alias("page_number")).agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("all"))
@@ -166,11 +171,11 @@ def ocr_tsv_parse(spark, sf_dir):
 
 def ocr_confidence(spark, sf_dir):
     pages = _tsv(spark, sf_dir)
-    return O.confidence(O.parse_tsv(pages), pages, 70.0).select("doc_id", "word_count", F.round("confidence", 6).alias("confidence"), "code")
+    return O.confidence(O.parse_tsv(pages), pages, 70.0).select("doc_id", "page_number", "word_count", F.round("confidence", 6).alias("confidence"), "code")
 
 
 def ocr_positioned_text(spark, sf_dir):
-    w = O.parse_tsv(_tsv_pages(spark, sf_dir)).withColumn("line_idx", F.col("top"))
+    w = O.line_groups(O.parse_tsv(_tsv(spark, sf_dir)))
     return O.layout_html(O.positioned_text(w))
 
 
@@ -180,15 +185,15 @@ def ocr_page_ranges(spark, sf_dir):
     return s.select("spec", listed(O.page_list(F.col("spec"), F.lit(6))).alias("pages"), listed(O.page_range(F.col("spec"))).alias("one_range"))
 
 
-QUERIES = {f.__name__: f for f in (line_group_anchored, line_extents, heading_levels_typographic, paragraph_gap_breaks, gutter_split, two_column_order, table_region_semijoin, bullet_nearest_line, caption_segments, table_normalize, table_reject, table_merge_adjacent, image_filter, figure_candidates, figure_numbering, figure_crop, ocr_tsv_parse, ocr_confidence, ocr_positioned_text, ocr_page_ranges)}
+QUERIES = {f.__name__: f for f in (line_group_anchored, line_extents, heading_levels_typographic, paragraph_gap_breaks, gutter_split, two_column_order, table_region_semijoin, bullet_nearest_line, page_extraction, caption_segments, table_normalize, table_reject, table_merge_adjacent, image_filter, figure_candidates, figure_numbering, figure_crop, ocr_tsv_parse, ocr_confidence, ocr_positioned_text, ocr_page_ranges)}
 
-#: Lines of the synthetic words are as far apart as 14 units, so here a line is its row.
+#: Lines of the synthetic words are 12 units apart at least, so here a line is its row.
 _WORDS = r"""WITH w0 AS (
   SELECT doc_id, unnest(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS t, generate_subscripts(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> ''), 1) - 1 AS i FROM documents
 ), w AS (
-  SELECT doc_id, CAST(i // 8 // 50 + 1 AS INTEGER) AS page_number, CAST(i // 8 % 50 AS INTEGER) AS line_idx, CAST(i AS INTEGER) AS word_idx, left(t, 4) AS text,
+  SELECT doc_id, CAST(i // 8 // 50 + 1 AS INTEGER) AS page_number, CAST(i // 8 % 50 AS INTEGER) AS line_idx, CAST(i AS INTEGER) AS word_idx, t AS text,
     (i % 8) * 30.0::DOUBLE + CASE WHEN i // 8 % 50 % 3 <> 2 AND i % 8 >= 4 THEN 320 WHEN i // 8 % 50 % 3 = 2 THEN (i % 8) * 30 ELSE 0 END AS x0,
-    i // 8 % 50 * 14.0::DOUBLE + (i % 2) * 0.3::DOUBLE + 60 AS top, CASE i // 8 % 50 WHEN 0 THEN 18.0 WHEN 20 THEN 13.5 ELSE 10.0 END AS font_size FROM w0
+    i // 8 % 50 * 12.0::DOUBLE + i // 8 % 50 // 5 * 16.0::DOUBLE + (i % 2) * 0.3::DOUBLE + 60 AS top, CASE i // 8 % 50 WHEN 0 THEN 18.0 WHEN 20 THEN 13.5 ELSE 10.0 END AS font_size FROM w0
 ), l AS (
   SELECT doc_id, page_number, line_idx, string_agg(text, ' ' ORDER BY x0, word_idx) AS text, min(x0) AS x0, max(x0 + 24) AS x1, min(top) AS top, max(top + 10) AS bottom, max(font_size)::DOUBLE AS font_size FROM w GROUP BY ALL
 )"""
@@ -199,16 +204,10 @@ _TABLES = r"""WITH g AS (
   SELECT doc_id, page_number, CASE WHEN doc_id % 3 = 0 THEN 'part<br>no ' || (page_number % 2) ELSE 'part' END AS h, f, 'p ' || p || '<br>x' AS c, (doc_id + page_number) % 5 <> 0 AS accepted FROM g
 )"""
 
-_DRAWN = """WITH c AS (
-  SELECT n_nationkey AS doc_id, 1 AS page_number, i, 'Fig. ' || (i + 1) || ': x' AS caption, i * 268.0::DOUBLE + 72 AS x0, 250.0::DOUBLE AS top, i * 268.0::DOUBLE + 267 AS x1,
-    CASE WHEN n_nationkey % 4 = 0 THEN 430.1 ELSE 470.0 END::DOUBLE AS bottom, 5 AS n FROM nation, (VALUES (0), (1)) AS v(i)
-  WHERE n_nationkey % 4 <> 0
-)"""
-
 _TSV = r"""WITH r AS (
-  SELECT doc_id, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\s+')[:60] AS w FROM documents)
+  SELECT doc_id, text, n % 60 AS i, CAST(n // 60 + 1 AS INTEGER) AS page_number FROM (SELECT doc_id, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS n FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\s+') AS w FROM documents))
 ), p AS (
-  SELECT doc_id, 1 AS page_number, CAST(i + 1 AS INTEGER) AS word_idx, text, CAST(i % 10 * 50 AS INTEGER) AS left, CAST(i // 10 AS INTEGER) AS top, CAST(len(text) * 5 AS INTEGER) AS width, 10 AS height, (doc_id % 40 + 60 + i % 3)::DOUBLE AS conf
+  SELECT doc_id, page_number, CAST(i + 1 AS INTEGER) AS word_idx, text, CAST(i % 10 * 50 AS INTEGER) AS left, CAST(i // 10 AS INTEGER) AS top, CAST(len(text) * 5 AS INTEGER) AS width, 10 AS height, (doc_id % 40 + 60 + i % 3)::DOUBLE AS conf
   FROM r WHERE i % 9 <> 8 AND i % 13 <> 12 AND i % 7 <> 6 AND text <> ''
 )"""
 
@@ -217,10 +216,10 @@ ORACLES = {
     "line_extents": _WORDS + " SELECT * FROM l",
     "heading_levels_typographic": _WORDS + """, b AS (SELECT *, median(font_size) OVER (PARTITION BY doc_id, page_number) AS body FROM l)
 SELECT doc_id, page_number, line_idx, text, CAST(least(6, dense_rank() OVER (PARTITION BY doc_id, page_number ORDER BY font_size DESC)) AS INTEGER) AS level FROM b WHERE font_size >= body * 1.2 AND len(text) <= 160 AND NOT contains(text, '=')""",
-    "paragraph_gap_breaks": _WORDS + """, g AS (SELECT *, top - lag(bottom) OVER p AS gap, 1.5 * median(bottom - top) OVER (PARTITION BY doc_id, page_number) AS lim FROM l WHERE line_idx % 5 <> 3 WINDOW p AS (PARTITION BY doc_id, page_number ORDER BY line_idx))
+    "paragraph_gap_breaks": _WORDS + """, g AS (SELECT *, top - lag(bottom) OVER p AS gap, 1.5 * median(bottom - top) OVER (PARTITION BY doc_id, page_number) AS lim FROM l WINDOW p AS (PARTITION BY doc_id, page_number ORDER BY line_idx))
 SELECT doc_id, page_number, line_idx FROM g WHERE gap > lim""",
     "gutter_split": _WORDS + " SELECT doc_id, page_number, line_idx, sum(CASE WHEN line_idx % 3 <> 2 AND word_idx % 8 >= 4 THEN 1 ELSE 0 END) AS right_words FROM w GROUP BY ALL",
-    "table_region_semijoin": _WORDS + " SELECT doc_id, page_number, line_idx FROM l WHERE doc_id % 3 = 0 AND (x0 + x1) / 2 BETWEEN 0 AND 600 AND (top + bottom) / 2 BETWEEN 200 AND 260",
+    "table_region_semijoin": _WORDS + " SELECT doc_id, page_number, line_idx FROM l WHERE (x0 + x1) / 2 BETWEEN 0 AND 600 AND (top + bottom) / 2 BETWEEN 200 AND 260",
     "bullet_nearest_line": _WORDS + """, s AS (SELECT i, i * 37.0::DOUBLE + 64 AS y FROM range(10) t(i) WHERE i % 4 <> 3), p AS (
   SELECT doc_id, page_number, line_idx, i, abs(y - (top + bottom) / 2) AS far FROM l, s WHERE x0 >= -5 AND abs(y - (top + bottom) / 2) <= greatest(4, (bottom - top) * 0.6)
 ), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, i ORDER BY far, line_idx) AS k FROM p) SELECT DISTINCT doc_id, page_number, line_idx FROM best WHERE k = 1""",
@@ -237,6 +236,6 @@ SELECT doc_id, printf('page-%03d-table-01', min(page_number)) AS table_id, min(p
 SELECT k // 4 AS doc_id, k % 4 AS image_idx, CASE WHEN w * 300 < 50000 THEN 'decorative' WHEN k % 3 = 0 THEN 'jpg' WHEN k % 5 = 2 AND w * 300 = 72000 THEN 'png' ELSE 'unsupported' END AS kind,
   printf('page-001-figure-%02d', row_number() OVER (PARTITION BY k // 4 ORDER BY k % 4)) AS asset_id FROM k""",
     "ocr_tsv_parse": _TSV + " SELECT * FROM p",
-    "ocr_confidence": _TSV + " SELECT d.doc_id, count(p.conf) AS word_count, round(avg(conf), 6) AS confidence, CASE WHEN avg(conf) < 70 THEN 'OCR_LOW_CONFIDENCE' END AS code FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id",
+    "ocr_confidence": _TSV + " SELECT d.doc_id, d.page_number, count(p.conf) AS word_count, round(avg(conf), 6) AS confidence, CASE WHEN avg(conf) < 70 THEN 'OCR_LOW_CONFIDENCE' END AS code FROM (SELECT DISTINCT doc_id, page_number FROM r) d LEFT JOIN p USING (doc_id, page_number) GROUP BY ALL",
     "ocr_page_ranges": "SELECT * FROM (VALUES ('all', '1,2,3,4,5,6', NULL), ('1-3,5', '1,2,3,5', NULL), ('2', '2', '2'), ('0', NULL, NULL), ('4-2', NULL, NULL), ('1, 2', '1,2', NULL), ('9', NULL, '9'), ('a', NULL, NULL), ('3,1-2,2', '1,2,3', NULL)) AS v(spec, pages, one_range)",
 }

@@ -86,8 +86,8 @@ def artifact_paths(spark, sf_dir):
 
 
 def asset_anti_join(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("x ![a](assets/"), (F.col("doc_id") % 3).cast("string"), F.lit(".png) and ![b](<other "), (F.col("doc_id") % 2).cast("string"), F.lit(".png>)")).alias("markdown"))
-    assets = d.select("doc_id", F.explode(F.array(F.lit("assets/0.png"), F.lit("assets/1.png"), F.lit("other 0.png"))).alias("relative_path"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("x ![a](assets/"), (F.col("doc_id") % 3).cast("string"), F.lit(".png) and ![b](<other "), (F.col("doc_id") % 2).cast("string"), F.lit(".png>) <IMG alt='x' src=\"h"), (F.col("doc_id") % 5).cast("string"), F.lit('.gif">')).alias("markdown"))
+    assets = d.select("doc_id", F.explode(F.array(F.lit("assets/0.png"), F.lit("assets/1.png"), F.lit("other 0.png"), F.lit("h3.gif"))).alias("relative_path"))
     return D.unauthorised_images(d, assets)
 
 
@@ -121,7 +121,7 @@ _LINKS = r"""WITH l AS (
 ORACLES = {
     "link_classify": _LINKS + " SELECT link_idx, uri, target FROM k",
     "link_reject_counts": _LINKS + " SELECT doc_id, page_number, CASE target WHEN 'unsafe' THEN 'NATIVE_PDF_LINK_UNSAFE_URL' ELSE 'NATIVE_PDF_LINK_LOCAL_TARGET' END AS code, count(*) AS n FROM k WHERE target <> 'ok' GROUP BY ALL",
-    "link_render": _LINKS + r""" SELECT doc_id, page_number, '<!-- srcmap:native-pdf-links page=' || page_number || ' -->' || chr(10) || string_agg('- [' || CASE WHEN link_idx % 2 = 0 THEN 'a \[title\] \\ ' || link_idx ELSE 'Link' END || '](' || uri || ')', chr(10) ORDER BY link_idx) AS markdown FROM k WHERE target = 'ok' GROUP BY doc_id, page_number""",
+    "link_render": _LINKS + r""" SELECT doc_id, page_number, '<!-- srcmap:native-pdf-links page=' || page_number || ' -->' || chr(10) || '**Native PDF links**' || chr(10) || string_agg('- [' || CASE WHEN link_idx % 2 = 0 THEN 'a \[title\] \\ ' || link_idx ELSE 'Link' END || '](<' || uri || '>)', chr(10) ORDER BY link_idx) AS markdown FROM k WHERE target = 'ok' GROUP BY doc_id, page_number""",
     "link_title_assign": "SELECT page_id AS doc_id, CASE WHEN page_id % 3 = 0 THEN 'Big title here' WHEN page_id % 2 = 0 THEN 'Beside' END AS visible_title FROM pages",
     "fingerprint_text": "SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS size_bytes FROM documents",
     "freshness_decision": "SELECT doc_id, doc_id % 4 IN (2, 3) AS fresh FROM documents",
@@ -133,7 +133,7 @@ a AS (SELECT doc_id, count(*) AS batches, CAST(sum(ms) AS BIGINT) AS total_ms, C
 SELECT *, CASE WHEN total_ms >= 3600000 THEN (total_ms // 3600000) || ' h ' || (total_ms // 60000 % 60) || ' min ' WHEN total_ms >= 60000 THEN (total_ms // 60000 % 60) || ' min ' ELSE '' END || printf('%d,%03d s', total_ms // 1000 % 60, total_ms % 1000) AS total FROM a""",
     "path_safety": r"SELECT * FROM (VALUES ('a/b.png', true), ('/a', false), ('../a', false), ('a/../b', false), ('C:/x', false), ('a..b/c', true), ('', false), ('a\..\b', false), ('..', false)) AS v(path, safe)",
     "artifact_paths": "SELECT doc_id, 'doc.' || doc_id || '.md' AS markdown, 'doc.' || doc_id || '.manifest.json' AS manifest, 'doc.' || doc_id || '.cloud.md' AS cloud_markdown FROM documents",
-    "asset_anti_join": "SELECT doc_id, 'assets/2.png' AS target FROM documents WHERE doc_id % 3 = 2 UNION ALL SELECT doc_id, 'other 1.png' FROM documents WHERE doc_id % 2 = 1",
+    "asset_anti_join": "SELECT doc_id, 'assets/2.png' AS target FROM documents WHERE doc_id % 3 = 2 UNION ALL SELECT doc_id, 'other 1.png' FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, 'h' || (doc_id % 5) || '.gif' FROM documents WHERE doc_id % 5 <> 3",
     "vision_validate": "SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'VISION_INVALID_JSON' WHEN 3 THEN 'VISION_INVALID_JSON' WHEN 2 THEN 'VISION_LOW_CONFIDENCE' WHEN 4 THEN 'VISION_UNVERIFIABLE_CONTENT' END AS code FROM documents",
     "response_text": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang || '!' END AS text FROM documents",
     "html_blocks": "SELECT doc_id, tag, count(*) AS n FROM (SELECT page_id AS doc_id, lower(unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(h[1-6]|p|li)\\b', 1))) AS tag FROM pages) GROUP BY ALL".replace("\\\\", "\\"),

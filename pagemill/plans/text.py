@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
 from pagemill.operators import blocks as B
+from pagemill.operators import contract as C
 from pagemill.operators import derivatives as D
+from pagemill.operators import extract as E
 from pagemill.operators import findings as W
 from pagemill.operators import lifecycle as L
+from pagemill.operators import links as K
 from pagemill.operators import references as R
 from pagemill.plans.inputs import CLASSIFIED, INJECTED, injected, table
 
@@ -18,8 +21,12 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.build_blocks(B.classify(injected(spark, sf_dir)))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return injected(spark, sf_dir).select("doc_id", "page_number").distinct()
+
+
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.render_pages(B.render_blocks(_blocks(spark, sf_dir)))
+    return B.render_document(_pages(spark, sf_dir), _blocks(spark, sf_dir)).select("doc_id", "markdown")
 
 
 def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +41,7 @@ def _cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second derivative: some pages thinner, some with a table or formula."""
     pages = D.split_pages(_markdown(spark, sf_dir))
     k = F.col("doc_id") + F.col("page_number")
-    thin = F.when(k % 5 == 0, "short").when(k % 7 == 0, F.concat("content", F.lit("\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n"))).when(k % 11 == 0, F.concat("content", F.lit("\n\n$$x = 1$$\n"))).otherwise(F.col("content"))
+    thin = F.when(k % 5 == 0, "short").when(k % 7 == 0, F.concat("content", F.lit("\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n"))).when(k % 11 == 0, F.concat("content", F.lit("\n\nso $x = 1$ holds\n![gone](a b)\n![kept](a) words\n"))).otherwise(F.col("content"))
     return pages.select("doc_id", "page_number", thin.alias("content"))
 
 
@@ -97,8 +104,7 @@ def readiness_status(spark, sf_dir):
 
 
 def vision_page_plan(spark, sf_dir):
-    pages = injected(spark, sf_dir).select("doc_id", "page_number").distinct()
-    return W.vision_pages(_warnings(spark, sf_dir), pages, "auto")
+    return W.vision_pages(_warnings(spark, sf_dir), _pages(spark, sf_dir), "auto")
 
 
 def review_table(spark, sf_dir):
@@ -126,7 +132,7 @@ def completeness_check(spark, sf_dir):
 def marker_validation(spark, sf_dir):
     k, m = F.col("doc_id"), F.col("markdown")
     broken = F.when(k % 7 == 0, "").when(k % 7 == 1, F.concat(m, F.lit("<script>"))).when(k % 7 == 2, F.concat(F.lit("intro\n"), m)).when(k % 7 == 3, F.concat(m, F.lit(" <!-- srcmap:page=99 -->"))).when(k % 7 == 4, F.replace(m, F.lit("page=1 -->"), F.lit("page=1 --> x"))).otherwise(m)
-    pages = injected(spark, sf_dir).groupBy("doc_id").agg(F.max("page_number").alias("n"))
+    pages = _pages(spark, sf_dir).groupBy("doc_id").agg(F.max("page_number").alias("n"))
     rows = _markdown(spark, sf_dir).join(pages, "doc_id").withColumn("markdown", broken)
     return rows.select("doc_id", D.marker_code(F.col("markdown"), F.lit(1), F.col("n")).alias("code"))
 
@@ -143,33 +149,65 @@ def provenance_add_strip(spark, sf_dir):
     return m.withColumn("once", once).select("doc_id", F.sha2("once", 256).alias("sha256"), (twice == F.col("once")).alias("idempotent"), (D.strip_provenance(F.col("once")) == F.col("markdown")).alias("reversible"))
 
 
-QUERIES = {f.__name__: f for f in (line_explode, line_classify, block_build, ordered_numbering, list_continuation, page_marker_render, document_markdown, normalize_text, formula_render, document_references, warning_counts, quality_section, readiness_status, vision_page_plan, review_table, structure_score, derivative_choice, page_split, completeness_check, marker_validation, batch_plan, provenance_add_strip)}
+def run_status(spark, sf_dir):
+    return C.run_status(table(spark, sf_dir, "documents"), _warnings(spark, sf_dir))
+
+
+def document_full_markdown(spark, sf_dir):
+    """Whole documents: OCR layouts, list continuations, link lists, figures and tables; some with content of a page they haven't."""
+    k = F.col("doc_id") + F.col("page_number")
+    key = ["doc_id", "page_number"]
+    pages = _pages(spark, sf_dir).withColumn("layout_html", F.when(k % 9 == 0, F.concat(F.lit("<pre>"), "doc_id", F.lit("</pre>"))))
+    links = pages.where(k % 3 == 0).select(*key, F.explode(F.sequence(F.lit(1), F.lit(2))).alias("link_idx")).withColumn("uri", F.concat(F.lit("https://h/("), "link_idx", F.lit(")"))).withColumn("visible_title", F.when(F.col("link_idx") == 2, "[b]"))
+    lists = K.render_links(links).select(*key, F.lit(0).alias("rank"), F.lit(0).alias("ord"), F.col("markdown").alias("text"))
+    figure = E.asset_markdown(F.concat(F.lit("f"), "page_number"), F.col("page_number"), F.lit("assets/f.png"), F.when(F.col("doc_id") % 2 == 0, "Figure 1"), F.when(F.col("doc_id") % 3 == 0, F.lit("f.md")))
+    figures = pages.where(k % 5 == 0).select(*key, F.lit(1).alias("rank"), F.lit(0).alias("ord"), figure.alias("text"))
+    tables = pages.where(k % 4 == 0).select(*key, F.lit(2).alias("rank"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("ord"), F.lit("| a | b |\n| --- | --- |").alias("text"))
+    stray = pages.where("doc_id % 50 = 0 and page_number = 1").select("doc_id", F.lit(999).alias("page_number"), F.lit(2).alias("rank"), F.lit(1).alias("ord"), F.lit("x").alias("text"))
+    parts = lists.unionByName(figures).unionByName(tables).unionByName(stray)
+    return B.render_document(pages, _blocks(spark, sf_dir), parts).select("doc_id", F.sha2("markdown", 256).alias("sha256"), "code")
+
+
+QUERIES = {f.__name__: f for f in (run_status, document_full_markdown, line_explode, line_classify, block_build, ordered_numbering, list_continuation, page_marker_render, document_markdown, normalize_text, formula_render, document_references, warning_counts, quality_section, readiness_status, vision_page_plan, review_table, structure_score, derivative_choice, page_split, completeness_check, marker_validation, batch_plan, provenance_add_strip)}
 
 _BLOCKS = "WITH " + CLASSIFIED
 
-_NUMBERED = _BLOCKS + """, run AS (
-  SELECT *, sum(CASE WHEN kind = 'list_item' AND ordered THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page_number, block_idx) AS run FROM blocks
+#: Reads blocks one after another: a page's first paragraph goes on with an item if the last other block is one.
+_BODIES = """, may AS (
+  SELECT *, kind = 'paragraph' AND block_idx = min(block_idx) OVER (PARTITION BY doc_id, page_number) AS may FROM {blocks}
+), cont AS (
+  SELECT *, may AND coalesce(last_value(CASE WHEN NOT may THEN kind = 'list_item' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_number, block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS continues FROM may
+), run AS (
+  SELECT *, sum(CASE WHEN continues OR (kind = 'list_item' AND ordered) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page_number, block_idx) AS run FROM cont
 ), numbered AS (
   SELECT *, CASE WHEN kind = 'list_item' AND ordered THEN row_number() OVER (PARTITION BY doc_id, run, kind = 'list_item' AND ordered ORDER BY page_number, block_idx) END AS number FROM run
 )"""
 
-_MARKDOWN = _NUMBERED + """, pieces AS (
-  SELECT *, CASE WHEN lag(kind) OVER p IS NULL THEN '' WHEN kind = 'list_item' AND lag(kind) OVER p = 'list_item' THEN chr(10) ELSE chr(10) || chr(10) END
-    || CASE kind WHEN 'heading' THEN repeat('#', heading_level) || ' ' || text WHEN 'list_item' THEN coalesce(number || '. ', '- ') || text ELSE text END AS piece
+_NUMBERED = _BLOCKS + _BODIES.format(blocks="blocks")
+
+_PIECES = """, pieces AS (
+  SELECT *, CASE WHEN lag(kind) OVER p IS NULL THEN '' WHEN lag(continues) OVER p OR kind = 'list_item' AND lag(kind) OVER p = 'list_item' THEN chr(10) ELSE chr(10) || chr(10) END
+    || CASE WHEN continues THEN '  <!-- srcmap:page=' || page_number || ' -->' || chr(10) || '  ' || text WHEN kind = 'heading' THEN repeat('#', heading_level) || ' ' || text WHEN kind = 'list_item' THEN coalesce(number || '. ', '- ') || text ELSE text END AS piece
   FROM numbered WINDOW p AS (PARTITION BY doc_id, page_number ORDER BY block_idx)
-), mpages AS (
-  SELECT doc_id, page_number, string_agg(piece, '' ORDER BY block_idx) AS markdown FROM pieces GROUP BY ALL
+), bodies AS (
+  SELECT doc_id, page_number, string_agg(piece, '' ORDER BY block_idx) AS body, bool_or(continues) AS continues FROM pieces GROUP BY ALL
+)"""
+
+_MARKDOWN = _NUMBERED + _PIECES + """, mpages AS (
+  SELECT doc_id, page_number, coalesce(continues, false) AS continues,
+    CASE WHEN continues THEN body ELSE '<!-- srcmap:page=' || page_number || ' -->' || coalesce(chr(10) || body, '') END AS page
+  FROM (SELECT DISTINCT doc_id, page_number FROM inj) LEFT JOIN bodies USING (doc_id, page_number)
 ), mdocs AS (
-  SELECT doc_id, string_agg('<!-- srcmap:page=' || page_number || ' -->' || chr(10) || markdown, chr(10) || chr(10) ORDER BY page_number) AS markdown FROM mpages GROUP BY doc_id
+  SELECT doc_id, string_agg(CASE WHEN page_number = 1 THEN '' WHEN continues THEN chr(10) ELSE chr(10) || chr(10) END || page, '' ORDER BY page_number) AS markdown FROM mpages GROUP BY doc_id
 )"""
 
-#: Page contents as they lie between markers: a line break before, and what separates pages after.
+#: Page contents as they lie between markers.
 _CONTENTS = _MARKDOWN + """, contents AS (
-  SELECT doc_id, page_number, chr(10) || markdown || CASE WHEN lead(page_number) OVER (PARTITION BY doc_id ORDER BY page_number) IS NULL THEN '' ELSE chr(10) || chr(10) END AS content FROM mpages
+  SELECT doc_id, unnest(list_transform(regexp_extract_all(markdown, '<!-- srcmap:page=([0-9]+) -->', 1), lambda x: CAST(x AS INTEGER))) AS page_number, unnest(string_split_regex(markdown, '<!-- srcmap:page=[0-9]+ -->')[2:]) AS content FROM mdocs
 ), cloud AS (
   SELECT doc_id, page_number, CASE WHEN (doc_id + page_number) % 5 = 0 THEN 'short'
     WHEN (doc_id + page_number) % 7 = 0 THEN content || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10)
-    WHEN (doc_id + page_number) % 11 = 0 THEN content || chr(10) || chr(10) || '$$x = 1$$' || chr(10) ELSE content END AS content FROM contents
+    WHEN (doc_id + page_number) % 11 = 0 THEN content || chr(10) || chr(10) || 'so $x = 1$ holds' || chr(10) || '![gone](a b)' || chr(10) || '![kept](a) words' || chr(10) ELSE content END AS content FROM contents
 )"""
 
 _SUM = r"^([A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)?\([A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)?\))\s*=\s*sum_([A-Za-z0-9]+)\s+([A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)?(?:\s*\*\s*[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)?)*)\s*/\s*([A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)?)$"
@@ -205,13 +243,25 @@ def _score(rows: str) -> str:
 
 
 ORACLES = {
+    "run_status": _WARNINGS + " SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM found) THEN 'partial' ELSE 'success' END AS status FROM documents",
+    "document_full_markdown": _BLOCKS + """, pages AS (SELECT DISTINCT doc_id, page_number, (doc_id + page_number) % 9 = 0 AS laid_out FROM inj), set_ AS (
+  SELECT b.* FROM blocks b JOIN pages USING (doc_id, page_number) WHERE NOT laid_out
+  UNION ALL SELECT doc_id, page_number, 0, 'layout', '<pre>' || doc_id || '</pre>', NULL, NULL FROM pages WHERE laid_out
+)""" + _BODIES.format(blocks="set_") + _PIECES + """, whole AS (
+  SELECT doc_id, page_number, coalesce(continues, false) AS continues, array_to_string(list_filter([body,
+    CASE WHEN (doc_id + page_number) % 3 = 0 THEN '<!-- srcmap:native-pdf-links page=' || page_number || ' -->' || chr(10) || '**Native PDF links**' || chr(10) || '- [Link](<https://h/(1)>)' || chr(10) || '- [\\[b\\]](<https://h/(2)>)' END,
+    CASE WHEN (doc_id + page_number) % 5 = 0 THEN '<!-- srcmap:asset=f' || page_number || ' page=' || page_number || ' -->' || chr(10) || '![' || CASE WHEN doc_id % 2 = 0 THEN 'Figure 1' ELSE 'Figure f' || page_number END || '](assets/f.png)' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || '[Edit description](f.md)' ELSE '' END END,
+    CASE WHEN (doc_id + page_number) % 4 = 0 THEN '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS text
+  FROM pages LEFT JOIN bodies USING (doc_id, page_number)
+), joined AS (
+  SELECT doc_id, string_agg(CASE WHEN page_number = 1 THEN '' WHEN continues THEN chr(10) ELSE chr(10) || chr(10) END || CASE WHEN continues THEN '' ELSE '<!-- srcmap:page=' || page_number || ' -->' || CASE WHEN text = '' THEN '' ELSE chr(10) END END || text, '' ORDER BY page_number) AS markdown FROM whole GROUP BY doc_id
+) SELECT doc_id, CASE WHEN doc_id % 50 <> 0 THEN sha256(markdown) END AS sha256, CASE WHEN doc_id % 50 = 0 THEN 'CONTENT_WITHOUT_PAGE' END AS code FROM joined""".replace("\\\\", "\\"),
     "line_explode": """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), c AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM s)
 SELECT doc_id, 1 AS page_number, generate_subscripts(l, 1) - 1 AS line_idx, unnest(l) AS line FROM c""",
     "line_classify": _BLOCKS + " SELECT doc_id, page_number, line_idx, kind, CAST(CASE WHEN kind = 'heading' THEN heading_level END AS INTEGER) AS heading_level, CASE WHEN kind = 'list_item' THEN ord_ END AS ordered, content FROM cls",
     "block_build": _BLOCKS + " SELECT * FROM blocks",
     "ordered_numbering": _NUMBERED + " SELECT doc_id, page_number, block_idx, number FROM numbered WHERE number IS NOT NULL",
-    "list_continuation": _BLOCKS + """, ends AS (SELECT doc_id, page_number, min_by(kind, block_idx) AS a, max_by(kind, block_idx) AS b FROM blocks GROUP BY ALL)
-SELECT doc_id, page_number, a = 'paragraph' AND coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY page_number) = 'list_item', false) AS continues FROM ends""",
+    "list_continuation": _NUMBERED + " SELECT doc_id, page_number, bool_or(continues) AS continues FROM numbered GROUP BY ALL",
     "page_marker_render": "SELECT conv_id AS doc_id, sha256(string_agg('<!-- srcmap:page=' || (turn + 1) || ' -->' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn)) AS sha256, count(*) AS markers FROM conversations GROUP BY conv_id",
     "document_markdown": _MARKDOWN + " SELECT doc_id, sha256(markdown) AS sha256, len(markdown) AS n FROM mdocs",
     "normalize_text": r"""WITH t AS (SELECT doc_id, replace(text, 'é', 'e' || chr(769)) || CASE WHEN doc_id % 3 = 0 THEN chr(13) || chr(10) || 'x' || chr(13) || 'y' ELSE '' END AS raw FROM documents),
@@ -248,11 +298,12 @@ FROM documents d LEFT JOIN r USING (doc_id)""",
   CASE WHEN cloud_score IS NULL THEN 'cloud_derivative_not_available' WHEN cloud_score > local_score THEN 'validated_cloud_has_more_structure' ELSE 'local_structure_is_equal_or_better' END AS reason FROM j""",
     "page_split": _CONTENTS + " SELECT doc_id, page_number, sha256(content) AS sha256 FROM contents",
     "completeness_check": _CONTENTS + r""", kept AS (
-  SELECT 'l' AS side, doc_id, page_number, list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, '^\s*#{1,6}\s|^\s*>|^\s*!\[')) AS l FROM contents
-  UNION ALL SELECT 'c', doc_id, page_number, list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, '^\s*#{1,6}\s|^\s*>|^\s*!\[')) FROM cloud WHERE doc_id % 13 <> 0 OR page_number <> 1
+  SELECT side, doc_id, page_number, list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, '^\s{0,3}#{1,6}\s|^\s*>|^\s*!\[[^\]]*\]\([^\n]*\)\s*$')) AS l
+  FROM (SELECT 'l' AS side, * FROM contents UNION ALL SELECT 'c', * FROM cloud WHERE doc_id % 13 <> 0 OR page_number <> 1)
 ), p AS (
-  SELECT side, doc_id, page_number, len(regexp_extract_all(array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, '^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*$')), chr(10)), '[\p{L}\p{M}\p{N}]+')) AS n,
-    len(list_filter(l, lambda x: regexp_matches(x, '^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*$'))) > 0 AS t, contains(array_to_string(l, chr(10)), '$$') AS f FROM kept
+  SELECT side, doc_id, page_number, len(regexp_extract_all(b, '[\p{L}\p{M}\p{N}]+')) AS n, t,
+    contains(b, '$$') OR len(replace(b, '\$', '')) - len(replace(replace(b, '\$', ''), '$', '')) > 1 AS f
+  FROM (SELECT *, array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, '^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*$')), chr(10)) AS b, len(list_filter(l, lambda x: regexp_matches(x, '^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*$'))) > 0 AS t FROM kept)
 ), j AS (
   SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page_number, b.page_number) AS page_number, a.n AS ln, a.t AS lt, a.f AS lf, b.n AS cn, b.t AS ct, b.f AS cf
   FROM (SELECT * FROM p WHERE side = 'l') a FULL JOIN (SELECT * FROM p WHERE side = 'c') b ON a.doc_id = b.doc_id AND a.page_number = b.page_number

@@ -69,9 +69,9 @@ def test_split_is_the_inverse_of_render(spark):
 
 
 def test_formula(spark):
-    df = spark.createDataFrame([("d", 1, 0, "paragraph", "p(x) = sum_i w_i * x_i / n"), ("d", 1, 1, "paragraph", "y = a + b"), ("d", 1, 2, "heading", "y = a")], "doc_id string, page_number int, block_idx int, kind string, text string")
+    df = spark.createDataFrame([("d", 1, 0, "paragraph", "mean_a(k) = sum_t q * v_t / size"), ("d", 1, 1, "paragraph", "y = a + b"), ("d", 1, 2, "heading", "y = a")], "doc_id string, page_number int, block_idx int, kind string, text string")
     got = rows(W.render_formulas(df), "rendered", "code")
-    assert got == [("$$p(x) = \\frac{\\sum_i w_i x_i}{n}$$", None), ("y = a + b", "FORMULA_NOT_RECONSTRUCTED"), ("y = a", None)]
+    assert got == [("$$mean_a(k) = \\frac{\\sum_t q v_t}{size}$$", None), ("y = a + b", "FORMULA_NOT_RECONSTRUCTED"), ("y = a", None)]
 
 
 def test_normalisation(spark):
