@@ -1,34 +1,41 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is dealt by documents: each document row holds, for the words that occur
-in the test set, the word's number, how often it occurs and all its positions, in
-order of words. It is stored in the shared folder. Word counts over the whole index
-order every test phrase from its rarest word; a shard of the index merges its rows
-into one list per word, takes the rarest word's list, shifts it to the phrase's
-start, and intersects it with the shifted lists of the next words, rarest first.
-
-No posting leaves its shard, so a word or passage that a third of the documents
-share costs its own postings and no more. The test set is taken in blocks of at most
-BLOCK_WORDS words; a block is all that is ever broadcast.
+The index is built and stored once: documents are dealt into shards of some hundred,
+and for each shard and term there is a posting list, the documents that hold the term
+and where. Only terms that pass a bitmap of the test set's words are kept; the bitmap
+has a fixed size, whatever the test set's, and what it lets through in error is never
+looked up. Phrases are searched by their terms: those of a block of the test set are
+fetched from the index and meet by shard, where each phrase's rarest list is shifted
+to the phrase's start and intersected with the shifted lists of the next terms, rarest
+first, by their counts over the whole index.
+
+A shard's lists are bounded, so a term or passage that a third of the documents share
+costs its own postings and no more. The test set is taken in blocks of at most
+BLOCK_WORDS words, all of them over the same index; a block and the bitmap are all
+that is ever broadcast.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import fresh, received, shipped, stored
+from pagemill.llm.common import fresh, received, shipped, small_batches, stored, utf8
 
 #: Words of a test phrase; an item with fewer is one phrase.
 WINDOW = 10
 #: Words of the items in a block of the test set.
 BLOCK_WORDS = 1_000_000
-#: Postings merged, and candidates intersected, at once.
-SHARD, CANDIDATES = 1 << 20, 1 << 20
+#: Words of a shard (or one document's), and candidates intersected at once.
+SHARD, CANDIDATES = 1 << 18, 1 << 20
+#: Bits of the test set's bitmap.
+BITS = 1 << 22
 
 #: A-Z to lower case, and all ASCII but 0-9 and a-z to spaces; other bytes belong to words.
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
@@ -53,13 +60,14 @@ class Block:
         for name, text in items:
             for p in phrases(text, window):
                 own.setdefault(p, set()).add(name)
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for p in own for w in p}))}
+        self.words = sorted({w for p in own for w in p})
+        number_of = {w: i for i, w in enumerate(self.words)}
         self.items = sorted({name for _, name in ((p, n) for p, s in own.items() for n in s)})
         number = {name: i for i, name in enumerate(self.items)}
         self.length = np.array([len(p) for p in own], np.int64)
         self.terms = np.full((len(own), window), -1, np.int64)
         for i, p in enumerate(own):
-            self.terms[i, : len(p)] = [self.vocabulary[w] for w in p]
+            self.terms[i, : len(p)] = [number_of[w] for w in p]
         self.offsets = np.where(self.terms >= 0, np.arange(window), -1)
         self.owners = [np.array(sorted(number[n] for n in s)) for s in own.values()]
 
@@ -85,52 +93,105 @@ def blocks(benchmark: DataFrame, *, item: str = "item_id", text: str = "text", w
         yield Block(held, window)
 
 
-def build_index(documents: DataFrame, vocabulary, *, text: str = "text") -> DataFrame:
-    """doc_id, th, n_words, terms, counts, positions: one row for each row of documents.
+def bitmap(benchmark: DataFrame, *, text: str = "text") -> np.ndarray:
+    """BITS bits, packed: which remainders the words of the test set have."""
 
-    vocabulary: a broadcast dict of words and numbers; other words are only counted.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = {zlib.crc32(w) % BITS for t in batch.column(0) for w in words(t.as_py())}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.int32())], ["bit"])
+
+    found = benchmark.select(F.col(text).alias("t")).mapInArrow(run, "bit int").distinct().toArrow()  # BITS rows at most
+    bits = np.zeros(BITS, bool)
+    bits[found.column(0).to_numpy()] = True
+    return np.packbits(bits)
+
+
+class Known(dict):
+    """Whether a word passes the bitmap; words asked for before are remembered, up to a bound."""
+
+    def __init__(self, bits: bytes):
+        self.bits = bits
+
+    def __missing__(self, word: bytes) -> bool:
+        if len(self) > 1 << 18:
+            self.clear()
+        held = self[word] = self.bits[zlib.crc32(word) % BITS] == 1
+        return held
+
+
+class Numbers(dict):
+    """Numbers of a shard's terms as they come; -1 for words that aren't kept."""
+
+    def __init__(self, known: Known):
+        self.known, self.terms = known, []
+
+    def __missing__(self, word: bytes) -> int:
+        number = -1
+        if self.known[word]:
+            number = len(self.terms)
+            self.terms.append(word)
+        self[word] = number
+        return number
+
+
+#: A posting list has its term and, one after another, documents (numbered in the shard) and positions; a shard's own row has no term but its documents.
+INDEX = "shard long, term binary, docs array<int>, positions array<int>, doc_id array<long>, th array<long>, n_words array<long>"
+
+
+def build_index(documents: DataFrame, bits, *, text: str = "text") -> DataFrame:
+    """Posting lists by shard and term, and a row for each shard with its documents: INDEX.
+
+    bits: a broadcast bitmap(); other words are only counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = vocabulary.value.get
+        known = Known(np.unpackbits(bits.value).tobytes())
+        shard = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                n_words, terms, counts, positions = [], [], [], []
-                for t in some.column("text"):
-                    ids = np.array([number(w, -1) for w in words(t.as_py())], np.int32)
-                    n_words.append(len(ids))
-                    own = np.nonzero(ids >= 0)[0].astype(np.int32)
-                    ids = ids[own]
-                    by = np.argsort(ids, kind="stable")
-                    ids = ids[by]
-                    head = np.nonzero(np.diff(ids, prepend=-1))[0]
-                    terms.append(ids[head])
-                    counts.append(np.diff(head, append=len(ids)).astype(np.int32))
-                    positions.append(own[by])
-
-                def lists(x: list[np.ndarray]) -> pa.Array:
-                    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x))
-
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("th"), pa.array(n_words, pa.int64()), lists(terms), lists(counts), lists(positions)], ["doc_id", "th", "n_words", "terms", "counts", "positions"])
+            _, at = utf8(batch.column("text"))
+            i = 0
+            while i < batch.num_rows:  # a word has two bytes at least with what divides it
+                j = max(i + 1, int(np.searchsorted(at, at[i] + 2 * SHARD, "right")) - 1)
+                yield lists(batch.slice(i, j - i), shard, known)
+                i, shard = j, shard + 1
+
+    def lists(rows: pa.RecordBatch, shard: int, known: Known) -> pa.RecordBatch:
+        number, n_words, found = Numbers(known), [], [np.empty((0, 3), np.int32)]
+        for d, t in enumerate(rows.column("text").to_pylist()):
+            own = words(t)
+            n_words.append(len(own))
+            ids = np.fromiter(map(number.__getitem__, own), np.int32, len(own))
+            at = np.nonzero(ids >= 0)[0]
+            found.append(np.stack([ids[at], np.full(len(at), d), at], 1).astype(np.int32))
+        flat, terms = np.concatenate(found), number.terms
+        by = np.argsort(flat[:, 0], kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(flat[:, 0], minlength=len(terms))), [len(flat)]]).astype(np.int32)
+        n = len(terms) + 1  # the last row is the shard's own
+
+        def only_last(values, kind: pa.DataType) -> pa.Array:
+            return pa.ListArray.from_arrays(np.array([0] * n + [len(values)], np.int32), pa.array(values, kind))
+
+        postings = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(flat[by, k]))) for k in (1, 2)]
+        ids, ths = (rows.column(c).to_pylist() for c in ("doc_id", "th"))
+        columns = [pa.array(np.full(n, shard)), pa.array([*terms, None], pa.binary()), *postings, only_last(ids, pa.int64()), only_last(ths, pa.int64()), only_last(n_words, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in INDEX.split(", ")])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, n_words long, terms array<int>, counts array<int>, positions array<int>")
+    return rows.mapInArrow(run, INDEX)
 
 
-def term_counts(index: DataFrame, n: int) -> np.ndarray:
-    """Occurrences of each of the n words over the whole index."""
+def shard_documents(index: DataFrame) -> DataFrame:
+    """doc_id, th, n_words: one row for each row of documents."""
+    return index.where("term is null").select(F.explode(F.arrays_zip("doc_id", "th", "n_words")).alias("x")).select("x.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n, np.int64)
-        for batch in batches:
-            total += np.bincount(batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), n).astype(np.int64)
-        found = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], ["term", "n"])
 
+def term_counts(index: DataFrame, terms: DataFrame, n: int) -> np.ndarray:
+    """Occurrences of each of the n terms(term, number) over the whole index."""
+    counts = index.where("term is not null").select("term", F.size("positions").alias("n")).groupBy("term").agg(F.sum("n").alias("n"))
     out = np.zeros(n, np.int64)
-    for r in index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["term"]] = r["n"]
+    for r in counts.join(F.broadcast(terms), "term").select("number", "n").collect():  # a block's terms at most
+        out[r["number"]] = r["n"]
     return out
 
 
@@ -160,37 +221,33 @@ def _matches(block: Block, keys: np.ndarray, size: int, slop: int) -> Iterator[t
             yield phrase, start
 
 
-def search(index: DataFrame, block, *, slop: int = 0) -> DataFrame:
-    """doc_id, th, n_words, items, spans: one row for each row of the index.
+def search(index: DataFrame, terms: DataFrame, block, *, slop: int = 0) -> DataFrame:
+    """doc_id, th, n_words, items, spans: one row for each row of documents.
 
     items: the items with matching phrases, as strings in order; spans: the words
     (first, past the last) that matches cover, merged. slop 0 matches exact
     phrases; a larger one also phrases whose words lie up to slop places from where
     the phrase has them, counted from its rarest word (then a span is where the
-    phrase would lie, cut to the text). block: a Block, shipped.
+    phrase would lie, cut to the text). block: a Block, shipped; terms: its words as
+    terms(term, number).
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Block = received(block)
-        for batch in batches:
-            postings = np.diff(batch.column("positions").offsets.to_numpy())
-            past, i = np.cumsum(postings), 0
-            while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(past, (past[i - 1] if i else 0) + SHARD, "right")))
-                yield shard(own, batch.slice(i, j - i))
-                i = j
-
-    def shard(own: Block, rows: pa.RecordBatch) -> pa.RecordBatch:
-        n_words = rows.column("n_words").to_numpy()
-        terms, counts, positions = (rows.column(c) for c in ("terms", "counts", "positions"))
+    def run(lists: pa.Table) -> pa.Table:
+        number = lists.column("number").to_numpy()
+        return shard(received(block), lists.filter(pa.array(number < 0)), lists.filter(pa.array(number >= 0)))
+
+    def shard(own: Block, documents: pa.Table, lists: pa.Table) -> pa.Table:
+        doc_id, th, counted = (documents.column(c).combine_chunks().flatten() for c in ("doc_id", "th", "n_words"))
+        n_words = counted.to_numpy(zero_copy_only=False)
+        docs, positions = (lists.column(c).combine_chunks() for c in ("docs", "positions"))
+        term = np.repeat(lists.column("number").to_numpy().astype(np.int64), np.diff(docs.offsets.to_numpy()))
         # Places are numbered through the shard, with room between documents.
         room = own.terms.shape[1] + slop if slop else 0
         base = np.cumsum(n_words + room) - (n_words + room)
         size = int((n_words + room).sum()) + 1
-        place = positions.flatten().to_numpy() + np.repeat(base, np.diff(positions.offsets.to_numpy()))
-        keys = np.sort(np.repeat(terms.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy()) * size + place)
+        keys = np.sort(term * size + base[docs.flatten().to_numpy()] + positions.flatten().to_numpy())
         cover = np.zeros(size + 1, np.int32)
-        items: list[set[int]] = [set() for _ in range(rows.num_rows)]
+        items: list[set[int]] = [set() for _ in range(len(n_words))]
         for phrase, start in _matches(own, keys, size, slop) if len(keys) else ():
             end = start + own.length[phrase]
             doc = np.searchsorted(base, start + own.offsets[phrase, 0], "right") - 1
@@ -206,16 +263,18 @@ def search(index: DataFrame, block, *, slop: int = 0) -> DataFrame:
         edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
         first, last = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
         # A stretch that runs on into the next document is cut at its start.
-        cuts = base[1:][hit[base[1:]] & hit[base[1:] - 1] & (n_words[1:] > 0)] if rows.num_rows > 1 else base[:0]
+        cuts = base[1:][hit[base[1:]] & hit[base[1:] - 1] & (n_words[1:] > 0)] if len(n_words) > 1 else base[:0]
         first, last = np.sort(np.concatenate([first, cuts])), np.sort(np.concatenate([last, cuts]))
         doc = np.searchsorted(base, first, "right") - 1
-        spans: list[list[dict]] = [[] for _ in range(rows.num_rows)]
+        spans: list[list[dict]] = [[] for _ in range(len(n_words))]
         for d, a, b in zip(doc.tolist(), (first - base[doc]).tolist(), (last - base[doc]).tolist(), strict=True):
             spans[d].append({"s": a, "e": b})
         names = [sorted(own.items[i] for i in x) for x in items]
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("th"), rows.column("n_words"), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], ["doc_id", "th", "n_words", "items", "spans"])
+        columns = [doc_id, th, counted, pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))]
+        return pa.table(columns, names=["doc_id", "th", "n_words", "items", "spans"])
 
-    return index.mapInArrow(run, "doc_id long, th long, n_words long, items array<string>, spans array<struct<s:long,e:long>>")
+    wanted = index.join(F.broadcast(terms), "term", "left").where("term is null or number is not null").withColumn("number", F.coalesce("number", F.lit(-1)))
+    return wanted.drop("term").groupBy("shard").applyInArrow(run, "doc_id long, th long, n_words long, items array<string>, spans array<struct<s:long,e:long>>")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slop: int = 0) -> DataFrame:
@@ -227,14 +286,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = W
     with equal doc_id and th have equal results, other rows with equal ids are
     judged by themselves.
     """
-    spark, found, base = documents.sparkSession, [], None
+    spark, found = documents.sparkSession, []
+    small_batches(spark)
+    index = stored(build_index(documents, spark.sparkContext.broadcast(bitmap(benchmark))), "postings")
     for block in blocks(benchmark, window=window):
-        index = stored(build_index(documents, spark.sparkContext.broadcast(block.vocabulary)), "postings")
-        block.order(term_counts(index, len(block.vocabulary)))
-        base = base or index
-        found.append(search(index, shipped(spark, block), slop=slop))
+        terms = spark.createDataFrame(pa.table({"term": pa.array(block.words, pa.binary()), "number": pa.array(range(len(block.words)), pa.int32())}))  # BLOCK_WORDS at most
+        block.order(term_counts(index, terms, len(block.words)))
+        found.append(search(index, terms, shipped(spark, block), slop=slop))
     if not found:
-        found = [build_index(documents, spark.sparkContext.broadcast({})).select("doc_id", "th", "n_words", F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("spans"))]
+        found = [shard_documents(index).withColumns({"items": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<s:bigint,e:bigint>>")})]
     if len(found) == 1:
         out = found[0]
     else:
@@ -245,7 +305,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = W
         out = out.dropDuplicates(["doc_id", "th", "items", "spans"]).groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
         merged = F.aggregate("spans", F.array().cast("array<struct<s:bigint,e:bigint>>"), lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)["e"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))))
         out = out.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "items", merged.alias("spans"))
-        rows = base.select("doc_id", "th", "n_words")
+        rows = shard_documents(index)
         out = rows.join(out, rows["doc_id"].eqNullSafe(out["_d"]) & (rows["th"] == out["_t"]), "left").select("doc_id", "th", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("spans"))
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     return out.select("doc_id", "th", "n_words", hits.alias("n_hit"), "items", "spans")
