@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is built and stored once: documents are dealt into shards of some hundred,
+The index is built and stored once: documents are dealt into shards of about a thousand,
 and for each shard and term there is a posting list, the documents that hold the term
 and where. Only terms that pass a bitmap of the test set's words are kept; the bitmap
 has a fixed size, whatever the test set's, and what it lets through in error is never
@@ -33,7 +33,7 @@ WINDOW = 10
 #: Words of the items in a block of the test set.
 BLOCK_WORDS = 1_000_000
 #: Words of a shard (or one document's), and candidates intersected at once.
-SHARD, CANDIDATES = 1 << 18, 1 << 20
+SHARD, CANDIDATES = 1 << 20, 1 << 20
 #: Bits of the test set's bitmap.
 BITS = 1 << 22
 
