@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import scratch_path, stored
+from pagemill.llm.common import drop_path, scratch_path, stored
 
 #: Shorter payloads are never revisits.
 LEAST_PAYLOAD = 100
 #: Records of one archive; with Spark's partition size this bounds a file.
 MAX_RECORDS = 100_000
+#: Index rows (24 bytes each) that are sent to every executor at most.
+SENT = 2_000_000
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EMPTY_MEMBER_AT = 1 << 24
@@ -126,31 +128,46 @@ def member(record: bytes, level: int = 6) -> bytes:
     return pack(record) + (pack(b"") if len(record) >= EMPTY_MEMBER_AT else b"")
 
 
-def normalise(spark: SparkSession, source: str, path: str) -> None:
-    """Rewrite every archive below source, one gzip stream each, as members below path/archive=NAME."""
+def normalise(spark: SparkSession, source: str, path: str, index: str | None = None) -> None:
+    """Rewrite every archive below source, one gzip stream each, as members below path/archive=NAME.
+
+    index: where the sidecar index goes, as write_index() would write it. Offsets are
+    counted while members are made: a stream is inflated once, and no member at all.
+    An archive is held by one task, so it has to be under 2 GiB, as Spark's rows are.
+    """
+    names = ["archive", "seq", "offset", "length", "record_type", "page_id", "url", "member"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch.column(0), batch.column(1), strict=True):
-                name, held, size, seq = name.as_py(), [], 0, 0
-                for record in records_of(inflated(raw.as_py())):
-                    held.append(member(record)[:-1])  # the line's end adds the zero byte
-                    size += len(held[-1])
+                name, held, size, offset = name.as_py(), [], 0, 0
+                for seq, record in enumerate(records_of(inflated(raw.as_py()))):
+                    kinds, _ = _fields(record)
+                    own = member(record)
+                    held.append((name, seq, offset, len(own), kinds["warc-type"], _number(kinds["warc-record-id"]), kinds.get("warc-target-uri"), own[:-1]))  # the line's end adds the zero byte
+                    offset += len(own)
+                    size += len(own)
                     if size > 1 << 22:
-                        yield out(name, seq, held)
-                        seq, held, size = seq + len(held), [], 0
+                        yield out(held)
+                        held, size = [], 0
                 if held:
-                    yield out(name, seq, held)
+                    yield out(held)
 
-    def out(name: str, seq: int, held: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.string()), pa.array(range(seq, seq + len(held)), pa.int64()), pa.array(held, pa.binary())], ["archive", "seq", "member"])
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
     name = F.regexp_extract("path", r"([^/]*?)(\.txt)?\.gz$", 1)
-    members = files.select(name.alias("archive"), "content").mapInArrow(run, "archive string, seq long, member binary")
+    members = files.select(name.alias("archive"), "content").mapInArrow(run, "archive string, seq long, offset long, length long, record_type string, page_id long, url string, member binary")
+    if index:
+        members = stored(members, "members")  # the archives and their index are written from it
     # The writer wants rows by archive; sorted by seq below that, they need no further sort.
-    ordered = members.sortWithinPartitions("archive", "seq").select(F.col("member").cast("string").alias("value"), "archive")
+    ordered = members.select("archive", "seq", "member").sortWithinPartitions("archive", "seq").select(F.col("member").cast("string").alias("value"), "archive")
     ordered.write.partitionBy("archive").option("lineSep", "\u0000").option("compression", "none").text(path)
+    if index:
+        written = _archives(spark, path).select(F.regexp_extract("path", r"/archive=([^/]*)/[^/]*$", 1).alias("archive"), F.col("path").alias("file"))
+        members.drop("member").join(written, "archive").select("file", "seq", "offset", "length", "record_type", "page_id", "url").write.parquet(index)
 
 
 def _fields(record: bytes) -> tuple[dict[str, str], memoryview]:
@@ -180,6 +197,7 @@ def _number(urn: str | None) -> int | None:
     return int(digits) if digits else None
 
 
+INDEX = "file string, seq long, offset long, length long, record_type string, page_id long, url string"
 FIELDS = "file string, seq long, offset long, length long, record_type string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
 
@@ -229,7 +247,11 @@ def write_index(spark: SparkSession, archives: str, path: str) -> None:
 
 
 def read_records(spark: SparkSession, archives: str, index: DataFrame) -> DataFrame:
-    """Only the records that rows of a sidecar index name, each inflated by itself: FIELDS."""
+    """Only the records that rows of a sidecar index name, each inflated by itself: FIELDS.
+
+    Up to SENT rows, the index is sent to the archives; a longer one meets them in a
+    shuffle by file, which moves the archives.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,19 +261,23 @@ def read_records(spark: SparkSession, archives: str, index: DataFrame) -> DataFr
 
     places = index.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "seq"))).alias("places"))  # an archive's records are bounded
     files = _archives(spark, archives)
+    places = F.broadcast(places) if index.count() <= SENT else places
     joined = files.join(places, files["path"] == places["file"]).select("file", "content", "places")
     return joined.mapInArrow(run, FIELDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages(page_id, url, html) as monolithic archives, normalise and index them, and read all records back.
+    """Write pages(page_id, url, html) as monolithic archives, normalise and index them, and read all records back by the index.
 
     One row for each row of pages. Null ids stay null; null urls have no target line;
-    line breaks in a url are percent-encoded; an empty table gives an empty result.
+    line breaks in a url are percent-encoded; repeated rows are records of their own; an
+    empty table gives an empty result. Other columns are not read, so their names cannot
+    clash. A payload, and an archive, has to be under 2 GiB.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_monolithic(with_revisits(pages), f"{path}/monolithic")
-    normalise(spark, f"{path}/monolithic", f"{path}/members")
-    write_index(spark, f"{path}/members", f"{path}/index")
-    return read_archives(spark, f"{path}/members")
+    normalise(spark, f"{path}/monolithic", f"{path}/members", f"{path}/index")
+    drop_path(spark, f"{path}/monolithic")
+    index = spark.read.schema(INDEX).parquet(f"{path}/index")
+    return read_records(spark, f"{path}/members", index)

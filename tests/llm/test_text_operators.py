@@ -292,7 +292,9 @@ def test_reputation_shrinks_and_blocks(spark):
 # --- WARC
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("sent", [2_000_000, 10])
+def test_warc_round_trip(spark, monkeypatch, sent):
+    monkeypatch.setattr(warc, "SENT", sent)
     rng = random.Random(6)
     same = "<p>" + "same é " * 40
     html = [same if i % 4 == 0 else "x" * rng.randint(0, 300) + str(i) if i % 3 else "tiny" for i in range(60)] + [None, "", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" * 9, "\u0000" * 200, "<" * 500000]
@@ -332,6 +334,16 @@ def test_normaliser_makes_members(spark, tmp_path):
     assert [bytes(r["payload"]) for r in warc.read_records(spark, f"{at}/many", one).collect()] == [b"<p>7" * 50]
 
 
+def test_index_made_while_normalising(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://h/" if i % 3 else None, f"<p>{i}" * (i % 50)) for i in range(90)], "page_id long, url string, html string").repartition(3)
+    at = f"file://{tmp_path}"
+    warc.write_monolithic(warc.with_revisits(pages), f"{at}/one")
+    warc.normalise(spark, f"{at}/one", f"{at}/many", f"{at}/index")
+    warc.write_index(spark, f"{at}/many", f"{at}/again")
+    rows = lambda name: sorted(tuple(r) for r in spark.read.parquet(f"{at}/{name}").select("file", "seq", "offset", "length", "record_type", "page_id").collect())
+    assert rows("index") == rows("again") and len(rows("index")) == 90
+
+
 def test_members_end_with_zero(monkeypatch):
     assert warc.member(b"abc")[-1] == 0
     monkeypatch.setattr(warc, "EMPTY_MEMBER_AT", 2)
