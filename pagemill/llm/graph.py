@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import checkpointed
 
-MAX_ROUNDS = 60
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) for every node of edges(a, b) that isn't its own root.
 
@@ -21,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     now, seen = checkpointed(now), None
-    for _ in range(MAX_ROUNDS):
+    while True:  # ends: every round but the last makes some root smaller
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (mark["n"], mark["h"]) == seen or not mark["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -34,4 +31,3 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         near = large.select(F.col("u").alias("k"), F.col("v").alias("near")).join(least, "k").where("near <> m").select(F.col("near").alias("u"), F.col("m").alias("v"))
         now = checkpointed(near.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
-    raise RuntimeError(f"no components after {MAX_ROUNDS} rounds")

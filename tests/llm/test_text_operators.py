@@ -232,6 +232,26 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(d, None).collect()} == {0.0}
 
 
+def test_scores_against_a_plain_loop(spark):
+    rows = toxic_rows(200, 6)
+    net = toxicity.fit([(t, y) for _, t, y in rows], epochs=2)
+    texts = [t for _, t, _ in rows[:40]] + ["one", "", None, "new words " * 700 + "snarg", " ".join(str(i) for i in range(23)), " ".join(str(i) for i in range(25))]
+    df = spark.createDataFrame([(7, t, "x") for t in texts], "doc_id long, text string, score string")
+
+    def plain(text):
+        w = decontaminate.words(text)
+        vocabulary = [b"", *sorted(set(w))]
+        number = {x: i for i, x in enumerate(vocabulary)}
+        projected = net.project(net.inputs(vocabulary))
+        starts = [*range(0, max(1, len(w) - toxicity.WINDOW), toxicity.STRIDE), max(0, len(w) - toxicity.WINDOW)]
+        best = max((float(net.forward(projected, np.array([[number[x] for x in w[s : s + toxicity.WINDOW]] + [0] * (toxicity.WINDOW - len(w[s : s + toxicity.WINDOW]))]))[0]) for s in starts), default=0) if w else None
+        return 0.0 if best is None else 1 / (1 + np.exp(net.shift - best))
+
+    got = sorted(r["score"] for r in toxicity.score(df, net).collect())
+    assert np.allclose(got, sorted(plain(t) for t in texts), atol=1e-4)
+    assert toxicity.score(df.where("false"), net).count() == 0 and toxicity.keep_clean(df.where("false"), net).count() == 0
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network({b"a": 1, b"b": 2}, {g: i + 1 for i, g in enumerate({x for w in (b"a", b"b") for x in toxicity.grams(w)})}, (np.zeros(3), np.zeros(3)))
@@ -281,6 +301,17 @@ def test_urls(spark):
     assert url_reputation.filter_urls(pages.where("false"), outcomes, RULES).count() == 0
 
 
+def test_many_rules(spark, monkeypatch):
+    urls = ["http://a.b.com/x/y", "http://b.com/x", "http://c.com/", "http://com/x/", "no", None, "http://a..com/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("block", "com/x"), ("allow", "b.com/x/"), ("block", "a.b.com/x/yz"), ("block", "c.com/")] + [("block", f"h{i}.com/") for i in range(20)]
+    none = spark.createDataFrame([], "page_id long, bad int")
+    few = sorted(map(tuple, url_reputation.filter_urls(pages, none, rules).collect()))
+    monkeypatch.setattr(url_reputation, "MAX_RULES", 3)
+    assert sorted(map(tuple, url_reputation.filter_urls(pages, none, rules).collect())) == few
+    assert [r[3] for r in few] == ["b.com/x/", "com/x", "c.com/", "com/x", None, None, "com/x"]
+
+
 def test_reputation_shrinks_and_blocks(spark):
     rows = [(f"bad{i % 3}.evil.com", 1) for i in range(300)] + [(f"h{i % 20}.fine{i % 5}.org", int(i % 50 == 0)) for i in range(600)] + [("new.evil.com", None), ("one.fine1.org", 1)]
     rep = {r["host"]: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
