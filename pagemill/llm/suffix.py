@@ -366,16 +366,21 @@ def remove_repeats(documents: DataFrame, *, text: str = "text", depth: int = DEP
     Rows with equal ids are texts of their own. kept is the text without the removed
     bytes; a character that was cut in two is left out of it, while kept_sha256 is
     over all remaining bytes. An empty table gives an empty result. `carry` names
-    columns to hand through.
+    columns to hand through, whatever their names but those of the result; other columns
+    are not read.
     """
-    carry = carry or []
+    own = ("doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept")
+    if clash := {c.lower() for c in carry or ()} & set(own):
+        raise ValueError(f"columns of the result have these names: {sorted(clash)}")
     least = F.lit(-(1 << 63)).cast("long")
     doc_id = F.col("doc_id").cast("long")
-    rows = documents.select(doc_id.alias("doc_id"), *carry, F.coalesce(doc_id, least).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
+    # What is handed through travels as one column, so its names meet none of those used here.
+    through = F.struct(*carry) if carry else F.lit(None).cast("int")
+    rows = documents.select(doc_id.alias("doc_id"), through.alias("through"), F.coalesce(doc_id, least).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
     covered = repeated_spans(rows, depth=depth, gram=gram)
     covered = covered.groupBy("doc", "th").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
-    same = rows.select("doc_id", *carry)
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in same.schema)
-    packed = rows.select("doc_id", *carry, "doc", "th", "text").mapInArrow(_packed, f"{fields}, doc long, th long, packed binary")
-    joined = packed.join(covered, ["doc", "th"], "left").select("doc_id", *carry, "packed", "s", "e")
-    return joined.mapInArrow(_apply, f"{fields}, n_bytes long, n_removed long, spans array<struct<s:int,e:int>>, kept_sha256 string, kept string")
+    fields = f"doc_id long, through {rows.schema['through'].dataType.simpleString()}" if carry else "doc_id long, through int"
+    packed = rows.select("doc_id", "through", "doc", "th", "text").mapInArrow(_packed, f"{fields}, doc long, th long, packed binary")
+    joined = packed.join(covered, ["doc", "th"], "left").select("doc_id", "through", "packed", "s", "e")
+    out = joined.mapInArrow(_apply, f"{fields}, n_bytes long, n_removed long, spans array<struct<s:int,e:int>>, kept_sha256 string, kept string")
+    return out.select("doc_id", *(F.col(f"through.`{c}`").alias(c) for c in carry or ()), *own[1:])

@@ -239,13 +239,14 @@ def fit(labelled: list[tuple[str, int]], *, epochs: int = EPOCHS, seed: int = 0)
     return net
 
 
-def sample(documents: DataFrame, labels: DataFrame, *, toxic: int = TOXIC_DOCS, clean: int = CLEAN_DOCS) -> list[tuple[str, int]]:
+def sample(documents: DataFrame, labels: DataFrame, *, toxic: int = TOXIC_DOCS, clean: int = CLEAN_DOCS, doc_chars: int = DOC_CHARS) -> list[tuple[str, int]]:
     """(text, label) of up to so many documents of each class, those with the smallest id hash.
 
     documents(doc_id, text), labels(doc_id, label). Ids are chosen from the labels
     alone, twice as many as wanted, and sent to the documents, so no text is dealt out.
-    Texts that are null or have over DOC_CHARS characters teach nothing; of documents
-    with one id the least text counts, of its labels the greatest.
+    Texts that are null or have over doc_chars characters teach nothing: the three bounds
+    limit the sample, while every text is scored whole. Of documents with one id the
+    least text counts, of its labels the greatest.
     """
     one = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -254,7 +255,7 @@ def sample(documents: DataFrame, labels: DataFrame, *, toxic: int = TOXIC_DOCS,
         rows = hash_sample(one.where(F.col("label") == label), "doc_id", counts.get(label, 0), 2 * n).collect()
         chosen += [(r["doc_id"], label, i) for i, r in enumerate(rows)]
     ids = documents.sparkSession.createDataFrame(chosen, "doc_id long, label int, i int")
-    texts = documents.where(F.length("text") <= DOC_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = documents.where(F.length("text") <= doc_chars).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label", "i").agg(F.min("text").alias("text")).collect()  # 2 * (toxic + clean) ids and texts
     found = sorted(found, key=lambda r: (-r["label"], r["i"]))
     return [(r["text"], 1) for r in found if r["label"] == 1][:toxic] + [(r["text"], 0) for r in found if r["label"] == 0][:clean]
@@ -327,6 +328,9 @@ def score(documents: DataFrame, net: Network | None) -> DataFrame:
 
     score: from 0 to 1, the higher the likelier label 1; predicted: 1 from 0.5. Texts
     without words, and null ones, score 0; so do all where nothing could be learned.
+    Texts are scored whole, however long, by windows STRIDE words apart that overlap by
+    WINDOW - STRIDE. Rows with equal ids are scored by themselves; no documents give no
+    rows; other columns are not read.
     """
     shared = shipped(documents.sparkSession, net)  # MAX_WORDS + MAX_GRAMS short vectors
 
@@ -341,7 +345,7 @@ def score(documents: DataFrame, net: Network | None) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, net: Network | None) -> DataFrame:
-    """The rows of documents that score under 0.5, as they are."""
+    """The rows of documents that score under 0.5, as they are, whatever their columns; see score()."""
     shared = shipped(documents.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,6 +357,6 @@ def keep_clean(documents: DataFrame, net: Network | None) -> DataFrame:
     return documents.mapInArrow(run, documents.schema)
 
 
-def learn(documents: DataFrame, labels: DataFrame) -> Network | None:
-    """Train on documents(doc_id, text) with labels(doc_id, label); see sample()."""
-    return fit(sample(documents, labels))
+def learn(documents: DataFrame, labels: DataFrame, **bounds: int) -> Network | None:
+    """Train on documents(doc_id, text) with labels(doc_id, label); bounds are those of sample()."""
+    return fit(sample(documents, labels, **bounds))

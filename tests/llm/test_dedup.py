@@ -182,6 +182,14 @@ def test_repeated_rows_and_long_texts(spark, monkeypatch):
     assert Counter((r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got) == Counter(want)
 
 
+def test_columns_handed_through(spark):
+    df = table(spark, [(1, "x" * 300), (2, "y")]).selectExpr("doc_id", "text", "1 doc", "'t' th", "2 s", "3 e", "'p' packed", "4 through")
+    got = suffix.remove_repeats(df, carry=["doc", "th", "s", "e", "packed", "through", "text"]).orderBy("doc_id").collect()
+    assert [tuple(r)[:8] for r in got] == [(1, 1, "t", 2, 3, "p", 4, "x" * 300), (2, 1, "t", 2, 3, "p", 4, "y")]
+    with pytest.raises(ValueError):
+        suffix.remove_repeats(df, carry=["kept", "doc"])
+
+
 def similar_groups(rows):
     sets = []
     for _, t in rows:
