@@ -227,3 +227,15 @@ def test_pipeline_drops_near_copies_at_similarity(spark):
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, table(spark, rows), "").collect()}
     assert got == similar_groups(rows)
     assert len(rows) - len(got) > 60
+
+
+def test_shingles_are_shared_with_the_text_that_has_the_fewest_rarer_ones():
+    import pyarrow as pa
+
+    from pagemill.llm import near
+
+    # v 1 and 4 touch the batch's ends and may go on elsewhere; 2 has three members, 3 only one.
+    rows = [(1, 0, 9, 5), (2, 0, 8, 5), (2, 1, 3, 6), (2, 4, 1, 7), (3, 0, 2, 5), (4, 2, 7, 5)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("v", "at", "fp", "n"), x, strict=True)) for x in rows])
+    [got] = near._share(iter([batch, batch.slice(0, 0)]))
+    assert [(x["v"], x["fp"], x["one"]["fp"], x["members"], x["edge"]) for x in got.to_pylist()] == [(1, 9, 9, 1, True), (2, 8, 8, 3, False), (2, 3, 8, 3, False), (2, 1, 8, 3, False), (4, 7, 7, 1, True)]
