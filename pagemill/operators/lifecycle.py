@@ -54,7 +54,8 @@ def merge_batches(parts: DataFrame) -> DataFrame:
 
 def telemetry(runs: DataFrame) -> DataFrame:
     """doc_id, batches, total_ms, min_ms, max_ms (these two only of several), tokens; negative durations count as 0, broken ones not."""
-    ms = F.greatest(F.lit(0), F.unix_millis(F.col("completed_at")) - F.unix_millis(F.col("started_at")))
+    took = F.unix_millis(F.col("completed_at")) - F.unix_millis(F.col("started_at"))
+    ms = F.when(took.isNotNull(), F.greatest(F.lit(0), took))  # greatest() passes over nulls
     rows = runs.withColumn("_ms", ms).withColumn("_tokens", F.when(F.col("total_tokens") >= 0, F.col("total_tokens")))
     several = F.count("_ms") > 1
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("batches"), F.sum("_ms").alias("total_ms"), F.when(several, F.min("_ms")).alias("min_ms"), F.when(several, F.max("_ms")).alias("max_ms"), F.sum("_tokens").alias("tokens"))

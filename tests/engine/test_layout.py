@@ -163,3 +163,18 @@ def test_ocr_text_holds_all_words(spark, tmp_path):
     for i, w in enumerate(words):
         k = i % 60
         assert (k % 9 == 8 or k % 13 == 12 or k % 7 == 6) != (w in got[1, i // 60 + 1].replace("<", " ").replace(">", " ").split())
+
+
+def test_broken_durations_do_not_count(spark, tmp_path):
+    import duckdb
+
+    from pagemill.plans import lifecycle
+
+    rows = [(9, 1), (56, 1), (57, 1), (18, 2), (27, 2), (58, 3), (36, 3), (54, 4), (8, 5), (7, 5), (51, 5)]  # each ninth one has no end
+    spark.createDataFrame(rows, "event_id long, user_id long").selectExpr("event_id", "user_id", "timestamp_seconds(event_id) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in lifecycle.telemetry_rollup(spark, str(tmp_path)).collect()]
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW events AS FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        want = db.sql(lifecycle.ORACLES["telemetry_rollup"]).fetchall()
+    assert sorted(got) == sorted(want)
+    assert {r[0]: r[2:5] for r in got} == {1: (3000, 1000, 2000), 2: (None, None, None), 3: (3000, None, None), 4: (None, None, None), 5: (5000, 0, 3000)}
