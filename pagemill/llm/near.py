@@ -1,8 +1,9 @@
-"""Near-duplicates by exact Jaccard similarity of five-word shingles.
+"""Near-duplicates by SimHash, held against exact Jaccard similarity of five-word shingles.
 
-Texts link where the sets of their shingles have a similarity of 4/5 or more. A
-fingerprint of 64 bits cannot tell that: at 4/5 two SimHashes differ by about ten
-bits, too many to probe without loss. Candidates come from prefixes instead: with
+Texts link where the sets of their shingles have a similarity of 4/5 or more. The
+SimHashes of five-word shingles that lie within simhash.links() of each other are
+probed first, as in op9, and what they pair is verified. At 4/5 two SimHashes differ
+by about ten bits, too many to probe without loss, so the rest has an exact way: with
 all shingles in one order, two texts that link share one among the first
 n - ceil(4n/5) + 1 of each. Any order is exact; shingles go by how common they are
 in a sample, so that a common line is in few prefixes.
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm import simhash
 from pagemill.llm.common import SEED, drop_path, received, scratch_path, shipped, stored, uniform
 from pagemill.llm.graph import components
 from pagemill.llm.simhash import keep_least, least_of, row_key
@@ -102,6 +104,13 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return v.view(np.uint64)[order], n[order]
 
 
+def _forget(*tables: DataFrame) -> None:
+    """Remove stored() tables that nothing reads any more, so that they don't stay beside the next ones."""
+    for df in tables:
+        if files := df.inputFiles():
+            drop_path(df.sparkSession, files[0].rpartition("/")[0])
+
+
 #: A text under one of its shingles: how many rarer ones it has, its hash, its number of shingles.
 MEMBER = "struct<at:int,fp:long,n:int>"
 
@@ -127,6 +136,24 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(members[some].astype(np.int32)), first, pa.array(edge[some])], ["v", "at", "fp", "n", "members", "one", "edge"])
 
 
+def simhash_pairs(texts: DataFrame) -> DataFrame:
+    """a, b: of texts(fp, text) those that op9's operator pairs, by fingerprints of WIDTH-word shingles.
+
+    Texts of one fingerprint meet its least fp, which stands for it in simhash.links().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([simhash.fingerprint(x.as_py(), WIDTH) for x in batch.column(1)], pa.int64())], ["fp", "h"])
+
+    marks = stored(texts.select("fp", "text").mapInArrow(run, "fp long, h long"), "simhashes")
+    one = stored(marks.groupBy("h").agg(F.min("fp").alias("one"), F.count(F.lit(1)).alias("n")), "simhash-classes")
+    same = marks.join(one.where("n > 1").select("h", "one"), "h").where("fp <> one").select(F.col("one").alias("a"), F.col("fp").alias("b"))
+    side = lambda x: one.select(F.col("h").alias(f"{x}_h"), F.col("one").alias(x))
+    near = simhash.links(one.select(F.col("h").alias("fp"))).toDF("a_h", "b_h").join(side("a"), "a_h").join(side("b"), "b_h").select("a", "b")
+    return same.unionByName(near)
+
+
 def links(texts: DataFrame) -> DataFrame:
     """a, b: of texts(fp, text), one row for each fp, links whose graph has the components of all links."""
     spark = texts.sparkSession
@@ -156,12 +183,16 @@ def links(texts: DataFrame) -> DataFrame:
     columns = ["v", "at", "fp", "n", "members", "one"]
     index = stored(judged.where("not edge").select(*columns).unionByName(edges.join(held, "v").select(*columns)), "shared")
     drop_path(spark, path)
+    _forget(judged, edges)
 
     # Overlap is at most the shingles from the first one in common on.
     can = 9 * F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= 4 * (F.col("a_n") + F.col("b_n"))
     side = lambda s: [F.col("fp").alias(s), F.col("n").alias(f"{s}_n"), F.col("at").alias(f"{s}_at")]
     star = index.select(*[F.col(f"one.{c}").alias(f"a{x}") for c, x in (("fp", ""), ("n", "_n"), ("at", "_at"))], *side("b")).where("a <> b").where(can)
-    first = _verified(star, signs, texts, "star")
+    # What the fingerprints link needs no other pair; a star's pairs are verified once.
+    probed = _verified(simhash_pairs(texts), signs, texts, "simhash")
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(probed, ["a", "b"], "left_anti")
+    first = stored(probed.unionByName(_verified(star, signs, texts, "star")), "linked")
     more = index.where("members > 2").select("v", "at", "fp", "n")
 
     def apart(found: DataFrame, name: str) -> DataFrame:
@@ -179,6 +210,7 @@ def links(texts: DataFrame) -> DataFrame:
     more = apart(first, "still-apart").drop("lo")
     left, right = more.select("v", F.col("root").alias("a_root"), *side("a")), more.select("v", F.col("root").alias("b_root"), *side("b"))
     rest = _verified(left.join(right, "v").where("a < b and a_root <> b_root").where(can), signs, texts, "rest")
+    _forget(index, signs)
     return first.unionByName(rest).distinct()
 
 
@@ -204,7 +236,9 @@ def _verified(pairs: DataFrame, signs: DataFrame, texts: DataFrame, name: str) -
     sets = stored(texts.select("fp", "text").join(wanted, "fp", "left_semi").mapInArrow(run, "fp long, s array<long>"), f"{name}-sets")
     a, b = sets.select(F.col("fp").alias("a"), F.col("s").alias("s")), sets.select(F.col("fp").alias("b"), F.col("s").alias("z"))
     similar = 9 * F.size(F.array_intersect("s", "z")) >= 4 * (F.size("s") + F.size("z"))
-    return stored(pairs.join(a, "a").join(b, "b").where(similar).select("a", "b"), f"{name}-links")
+    found = stored(pairs.join(a, "a").join(b, "b").where(similar).select("a", "b"), f"{name}-links")
+    _forget(sets, wanted, pairs)
+    return found
 
 
 def keep_one(documents: DataFrame) -> DataFrame:

@@ -239,3 +239,25 @@ def test_shingles_are_shared_with_the_text_that_has_the_fewest_rarer_ones():
     batch = pa.RecordBatch.from_pylist([dict(zip(("v", "at", "fp", "n"), x, strict=True)) for x in rows])
     [got] = near._share(iter([batch, batch.slice(0, 0)]))
     assert [(x["v"], x["fp"], x["one"]["fp"], x["members"], x["edge"]) for x in got.to_pylist()] == [(1, 9, 9, 1, True), (2, 8, 8, 3, False), (2, 3, 8, 3, False), (2, 1, 8, 3, False), (4, 7, 7, 1, True)]
+
+
+def test_near_dedup_probes_simhashes(spark, monkeypatch):
+    import corpus_pipeline
+
+    from pagemill.llm import near
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(400)]
+    rows = [(i, " ".join([*base, *(word() for _ in range(i))])) for i in range(3)] + [(i, " ".join(word() for _ in range(50))) for i in range(3, 40)]
+    probes, pairs = [], []
+    links, simhash_pairs = simhash.links, near.simhash_pairs
+    monkeypatch.setattr(simhash, "links", lambda fps, t=2: probes.append(sorted(r[0] for r in fps.collect())) or links(fps, t))
+    monkeypatch.setattr(near, "simhash_pairs", lambda texts: pairs.append(simhash_pairs(texts)) or pairs[-1])
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, table(spark, rows), "").collect()}
+    assert probes == [sorted({simhash.fingerprint(t, 5) for _, t in rows})]
+    close = {(a, b) for a, x in rows for b, y in rows if a < b and ((simhash.fingerprint(x, 5) ^ simhash.fingerprint(y, 5)) % 2**64).bit_count() <= 2}
+    content = {near._content(t): i for i, t in rows}
+    found = {tuple(sorted(content[x] for x in r)) for r in pairs[0].collect()}
+    assert found and found <= close
+    assert kept == set(range(40)) - {1, 2}
